@@ -10,7 +10,15 @@ from .common import table
 from .license_scan import license_digest
 from .line_dedup import line_dedup_digest
 from .media_columns import text_media
+from .mixing import mix_digest
+from .multi_index import search
+from .packing import packed
 from .secret_scan import secret_digest
+from .toxicity import toxicity_digest
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +37,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP2_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -50,10 +70,14 @@ GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_line_dedup": op2_line_dedup,
         "op3_media_columns": op3_media_columns,
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
+        "op7_source_mixing": op7_source_mixing,
+        "op9_multi_index_search": op9_multi_index_search,
+        "op10_toxicity": op10_toxicity,
     }
 
 
