@@ -12,8 +12,10 @@ from .line_dedup import line_dedup_digest
 from .media_columns import text_media
 from .mixing import mix_digest
 from .multi_index import search
+from .ngram_join import near_duplicate_classes
 from .packing import packed
 from .secret_scan import secret_digest
+from .surrogates import surrogate_digest
 from .toxicity import toxicity_digest
 
 
@@ -29,6 +31,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogate_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -73,9 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_line_dedup": op2_line_dedup,
         "op3_media_columns": op3_media_columns,
+        "op4_ngram_join": op4_ngram_join,
         "op5_license_scan": op5_license_scan,
         "op6_secret_scan": op6_secret_scan,
         "op7_source_mixing": op7_source_mixing,
+        "op8_pii_surrogates": op8_pii_surrogates,
         "op9_multi_index_search": op9_multi_index_search,
         "op10_toxicity": op10_toxicity,
     }
