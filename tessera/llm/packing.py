@@ -18,6 +18,9 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 import random
+import re
+import struct
+import unicodedata
 import zlib
 
 import pyarrow as pa
@@ -31,7 +34,13 @@ END = 0
 TOKENIZER = "word_bpe_49k.json"
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 6, 4
 SHARD_ITEMS, LEVELS, WELL_FILLED = 4096, 3, 0.98
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
+
+_PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)?")
+
+
+def as_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordEncoder:
@@ -52,11 +61,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte_letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def letters(self, core: bytes) -> bytes | None:
+        """The ids of a run of lower-case letters, straight from the model; None if the normaliser might change it."""
+        ids = self.known.get(core)
+        if ids is None:
+            s = core.decode()
+            if not s.isascii():
+                if not (s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s)):
+                    return None
+                s = core.decode("latin-1").translate(self.byte_letters)
+            ids = self.known[core] = as_ids([t.id for t in self.tokenizer.model.tokenize(s)])
+        return ids
 
     def learn(self, words: list[bytes]) -> None:
+        """Most words are letters with or without punctuation behind, which are separate pieces to the tokenizer."""
+        others = []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            ids = self.letters(m[1]) if m else None
+            if ids is None:
+                others.append(w)
+            elif m[2]:
+                tail = self.known.get(m[2])
+                if tail is None:
+                    self.whole([m[2]])
+                    tail = self.known[m[2]]
+                self.known[w] = ids + tail
+        if others:
+            self.whole(others)
+
+    def whole(self, words: list[bytes]) -> None:
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         for w, e in zip(words, encoded, strict=True):
-            self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+            self.known[w] = as_ids(e.ids)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]  # of bytes: ASCII only, as the tokenizer would
