@@ -1,9 +1,37 @@
 """Every registered query of the library proper, with its oracle SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+from ..engine import Engine
+
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(spark).register_dir(sf_dir, TABLES)
+
+
+def by_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: engine(spark, sf_dir).query(sql)
+
+
+def _modules():
+    from . import aggregates, events, nested, relational, scalar, storage, tpch, windows
+
+    return (tpch, relational, aggregates, windows, scalar, nested, events, storage)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {}
+    for module in _modules():
+        for name, (query, _) in module.QUERIES.items():
+            out[name] = by_sql(query) if isinstance(query, str) else query
+    return out
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _modules() for name, (_, sql) in module.QUERIES.items() if sql}
