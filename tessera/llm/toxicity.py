@@ -231,7 +231,8 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int
             sums = [[math.log1p(v) for v in grammar.sums(t)] for t in as_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("__y"), pa.array(sums, pa.list_(pa.float64()))], names=["__y", "__x"])
 
-    got = sample.mapInArrow(features, "__y int, __x array<double>").orderBy("__y", "__x").collect()  # sample_rows short rows at most
+    got = sample.mapInArrow(features, "__y int, __x array<double>").collect()  # sample_rows short rows at most
+    got.sort(key=lambda r: (r["__y"], r["__x"]))
     return entries, fit(np.array([r["__x"] for r in got]), np.array([r["__y"] for r in got], dtype=float))
 
 
