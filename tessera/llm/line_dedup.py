@@ -103,13 +103,19 @@ def _stream(min_docs: int, keep_first: bool):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        h, rows, docs, last, started, is_first = None, np.empty((0, 3), np.int64), 0, None, False, True
+        h, rows, docs, last, started, is_first, before = None, np.empty((0, 3), np.int64), 0, None, False, True, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("__h1", "__h2", "__k1", "__k2", "__pos")]
             hs = np.stack(cols[:2], axis=1)
             body = np.stack([cols[2], cols[3], cols[4].astype(np.int64)], axis=1)
+            row = np.concatenate([hs, body], axis=1)
+            once = np.r_[before is None or bool((row[0] != before).any()), (row[1:] != row[:-1]).any(axis=1)]  # equal rows are one
+            before = row[-1]
+            if not once.any():
+                continue
+            hs, body = hs[once], body[once]
             new_run = np.r_[True, (hs[1:] != hs[:-1]).any(axis=1)]
             new_doc = new_run | np.r_[True, (body[1:, :2] != body[:-1, :2]).any(axis=1)]
             starts = np.flatnonzero(new_run)

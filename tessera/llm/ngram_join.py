@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join and its classes.
 
 A document's set is its distinct word shingles, as 64-bit hashes. Equal sets
-are one node. All shingles stand in one order, rarer ones first by a sketch of
-fixed size that counts every document. Of a set of n shingles the first
+are one node. All shingles stand in one order, by the count of their rarest
+word, which a sketch of fixed size takes over all documents. Of n shingles the first
 n - ceil(t n) + 1 name the tiles that the set is in: two sets with similarity t
 or more share a tile (prefix filter). Tiles are cut into size bands, as sets
 linked lie in the same or in neighbouring bands, and large ones into blocks.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, as_bytes, content_key
 
 BLOCK = 1024
-BITS_PER_SHINGLE = 4
+BITS_PER_DIFFERENCE = 5
 BLOOM_WORDS = 1 << 20
 SKETCH_BITS, CHUNK = 20, 4096
 U64 = np.uint64
@@ -65,16 +65,21 @@ class Shingler:
                     known[w] = xxhash.xxh3_64_intdigest(w)
             return np.array([known[w] for w in words], dtype=U64)
 
-    def shingles(self, text: bytes) -> np.ndarray:
+    def shingles(self, text: bytes, common: np.ndarray | None = None):
+        """The set; with common, also the class of each shingle's rarest word."""
         words = text.lower().split()  # of bytes: A-Z and ASCII white space only
         if not words:
-            return np.empty(0, U64)
+            return np.empty(0, U64), np.empty(0, np.uint8)
         h = self.hashes(words)
-        n = max(1, len(h) - self.words + 1)
-        out = np.full(n, min(len(h), self.words), U64)
-        for i in range(min(self.words, len(h))):
+        n, wide = max(1, len(h) - self.words + 1), min(self.words, len(h))
+        out, own = np.full(n, wide, U64), None if common is None else common[slot(h)]
+        kind = np.full(n, 255, np.uint8)
+        for i in range(wide):
             out = mixed(out * U64(0x9E3779B97F4A7C15) + h[i : i + n])
-        return np.unique(out)
+            if own is not None:
+                kind = np.minimum(kind, own[i : i + n])
+        out, at = np.unique(out, return_index=True)
+        return out, kind[at]
 
 
 class Bands:
@@ -97,37 +102,37 @@ class Bands:
         return self.den * overlap >= self.num * (a + b - overlap)
 
     def width(self, band: int) -> int:
-        """Bits of the bitmaps compared in this band: a power of two."""
-        return max(64, 1 << (BITS_PER_SHINGLE * self.start(band + 1) - 1).bit_length())
+        """Bits of this band's bitmaps: a power of two, some times as many as linked sets may differ in."""
+        most = (self.start(band + 1) - 1) * (self.den - self.num) // self.num + 1
+        return max(64, 1 << (BITS_PER_DIFFERENCE * most - 1).bit_length())
 
 
 def bitmap(h: np.ndarray, width: int) -> np.ndarray:
-    bits = np.zeros(width, bool)
-    bits[(mixed(h ^ U64(0xA5A5)) & U64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little")
+    """The parity of the set's hashes by slot: every element in which two sets differ changes one bit at most."""
+    slots = (mixed(h ^ U64(0xA5A5)) & U64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=width) & 1).astype(bool), bitorder="little")
 
 
-def rarest(h: np.ndarray, commonness: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The set's first shingles in the common order, as many as the prefix filter needs; h is sorted."""
-    n = len(h)
-    order = commonness[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)].argsort(kind="stable")
-    return h[order[: n - -(-num * n // den) + 1]]
+def slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _counts(words: int):
-    """The sketch's counters over a partition, in chunks; each document counts a shingle once."""
+def rarest(h: np.ndarray, kind: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The set's first shingles in the common order (class, then hash), as many as the prefix filter needs; h is sorted."""
+    n = len(h)
+    return h[kind.argsort(kind="stable")[: n - -(-num * n // den) + 1]]
 
-    def run(batches):
-        shingler, total = Shingler(words), np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            own = [shingler.shingles(t) for t in as_bytes(batch.column("text"))]
-            if own:
-                total += np.bincount((np.concatenate(own) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        for i, part in enumerate(total.reshape(-1, CHUNK)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["chunk", "counts"])
 
-    return run
+def _counts(batches):
+    """The word sketch's counters over a partition, in chunks."""
+    shingler, total = Shingler(1), np.zeros(1 << SKETCH_BITS, np.int64)
+    for batch in batches:
+        own = [shingler.hashes(t.lower().split()) for t in as_bytes(batch.column("text"))]
+        if own:
+            total += np.bincount(slot(np.concatenate(own)), minlength=len(total))
+    for i, part in enumerate(total.reshape(-1, CHUNK)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
 def _added(batches):
@@ -144,15 +149,14 @@ def _added(batches):
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
 
 
-def commonness_of(docs: DataFrame, words: int) -> np.ndarray:
-    """For each slot of the sketch, the power of two by which it is above the mean: fixed size, all documents counted."""
+def commonness_of(docs: DataFrame) -> np.ndarray:
+    """For each slot of the word sketch a class by its count, two to a power of two: of fixed size, over all documents."""
     kind = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(_counts(words), kind)
-    total = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int64).reshape(-1, CHUNK)
+    parts = docs.select("text").mapInArrow(_counts, kind)
+    total = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, CHUNK)
     for row in parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_added, kind).toLocalIterator():
         total[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
-    total = total.reshape(-1)
-    return np.log2(np.maximum(1.0, total / max(1.0, total.mean()))).astype(np.uint8)
+    return (2 * np.log2(1.0 + total.reshape(-1))).astype(np.uint8)
 
 
 SETS = "doc_id long, __k1 long, node long, n long, band int, keys array<long>, bits binary"
@@ -166,7 +170,7 @@ def _sets(words: int, num: int, den: int, common):
         for batch in batches:
             nodes, sizes, band, keys, bits = [], [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                h = shingler.shingles(text)
+                h, kind = shingler.shingles(text, common.value)
                 node = xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) and doc_id is not None else None
                 nodes.append(node if node is None or node < 1 << 63 else node - (1 << 64))
                 sizes.append(len(h))
@@ -176,7 +180,7 @@ def _sets(words: int, num: int, den: int, common):
                     bits.append(None)
                     continue
                 seen.add(node)
-                keys.append(rarest(h, common.value, num, den).view(np.int64))
+                keys.append(rarest(h, kind, num, den).view(np.int64))
                 bits.append(bitmap(h, bands.width(bands.of(len(h)))).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -241,7 +245,7 @@ def arrays(docs: DataFrame, candidates: DataFrame, words: int, scratch: Scratch,
                 if k in seen:
                     continue
                 seen.add(k)
-                h = shingler.shingles(text)
+                h, _ = shingler.shingles(text)
                 nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 rows.append(h.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, U64).view(np.int64)), pa.array(rows, pa.binary())], names=["node", "h"])
@@ -307,7 +311,7 @@ def _tile_pairs(num: int, den: int):
                     continue
                 (ai, am), (aj, bm) = maps[x], maps[y]
                 if y > x:  # the wider bitmap, folded
-                    bm = np.bitwise_or.reduce(bm.reshape(len(aj), -1, x), axis=1)
+                    bm = np.bitwise_xor.reduce(bm.reshape(len(aj), -1, x), axis=1)
                 am, bm = np.ascontiguousarray(am).view(U64), np.ascontiguousarray(bm).view(U64)
                 for r, i in enumerate(ai):
                     ok = (comp[aj] != comp[i]) & (den * np.minimum(n[aj], n[i]) >= num * np.maximum(n[aj], n[i]))
@@ -375,7 +379,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as scratch:
         keyed = docs.select("doc_id", "text", content_key("text")[0])
-        common = docs.sparkSession.sparkContext.broadcast(commonness_of(docs, words))
+        common = docs.sparkSession.sparkContext.broadcast(commonness_of(docs))
         sets = scratch.table(keyed.mapInArrow(_sets(words, num, den, common), SETS), "sets")
         owned = sets.where("doc_id is not null and node is not null")
         keys = owned.where("keys is not null").select(F.explode("keys").alias("key"), "node")
