@@ -230,7 +230,7 @@ text({
     "regexp_position": "CASE WHEN regexp_instr({0}, {1}) = 0 THEN -1 ELSE regexp_instr({0}, {1}) END",
     "split_part": "coalesce(CASE WHEN {2} = 0 THEN '' ELSE split_part({0}, {1}, {2}) END, '')",
     "str_to_map": "str_to_map({0}, concat('\\\\Q', {1}, '\\\\E'), concat('\\\\Q', {2}, '\\\\E'))",
-    "split": "split({0}, concat('\\\\Q', {1}, '\\\\E'))",
+    "split": "CASE WHEN {1} = '' THEN split({0}, '') ELSE split({0}, concat('\\\\Q', {1}, '\\\\E')) END",
     "unhex": "cast(unhex({0}) as string)",
     "url_decode": "try_url_decode({0})",
     "url_extract_host url_extract_": "try_parse_url({0}, 'HOST')",

@@ -41,9 +41,9 @@ FROM (SELECT *, timestamp '2023-12-25 12:00:00' AS t0, timestamp '2020-05-01 00:
     ),
     "fn_rand": ("SELECT n_nationkey AS k, rand() BETWEEN 0 AND 1 AS a, random() < 1 AS b, uuid() IS NOT NULL AS c FROM nation", "SELECT n_nationkey AS k, true AS a, true AS b, true AS c FROM nation"),
     "fn_string_1": (
-        "SELECT p_partkey AS k, append_trailing_char_if_absent(p_name, 'g') AS f1, append_trailing_char_if_absent(p_name, 'xy') AS f2, ascii(p_name) AS f3, char_length(p_name) AS f4, concat(p_name, '-', p_size) AS f5, concat_ws('|', p_name, NULL, p_brand) AS f6, crc32('abc') = 891568578 AS f7, ends_with(p_name, 'g') AS f8, starts_with(p_name, 's') AS f9, field(p_brand, 'Brand#2', 'Brand#3') AS f10, find_in_set('b', 'a,b,c') AS f11, format_bytes(p_partkey * 1000) AS f12, hex(p_name) AS f13, unhex(hex(p_name)) AS f14, initcap('hello-wORLD it') AS f15, instr(p_name, 'i') AS f16, left(p_name, 3) AS f17, right(p_name, 3) AS f18, length('é') AS f19, locate('i', p_name, 2) AS f20, upper(p_name) AS f21, lower(p_brand) AS f22 FROM part",
+        "SELECT p_partkey AS k, append_trailing_char_if_absent(p_name, 'g') AS f1, append_trailing_char_if_absent(p_name, 'xy') AS f2, ascii(p_name) AS f3, char_length(p_name) AS f4, concat(p_name, '-', p_size) AS f5, concat_ws('|', p_name, NULL, p_brand) AS f6, crc32('abc') = 891568578 AS f7, ends_with(p_name, 'g') AS f8, starts_with(p_name, 's') AS f9, field(p_brand, 'Brand#2', 'Brand#3') AS f10, find_in_set('b', 'a,b,c') AS f11, format_bytes(p_partkey * 1000 + 1) AS f12, hex(p_name) AS f13, unhex(hex(p_name)) AS f14, initcap('hello-wORLD it') AS f15, instr(p_name, 'i') AS f16, left(p_name, 3) AS f17, right(p_name, 3) AS f18, length('é') AS f19, locate('i', p_name, 2) AS f20, upper(p_name) AS f21, lower(p_brand) AS f22 FROM part",
         """SELECT p_partkey AS k, CASE WHEN p_name LIKE '%g' THEN p_name ELSE p_name || 'g' END AS f1, NULL::varchar AS f2, ascii(p_name)::int AS f3, length(p_name)::int AS f4, p_name || '-' || p_size AS f5, concat_ws('|', p_name, p_brand) AS f6, true AS f7, p_name LIKE '%g' AS f8, p_name LIKE 's%' AS f9, CASE p_brand WHEN 'Brand#2' THEN 1 WHEN 'Brand#3' THEN 2 ELSE 0 END::bigint AS f10, 2 AS f11,
-  CASE WHEN p_partkey * 1000 < 1024 THEN (p_partkey * 1000)::varchar || ' B' WHEN p_partkey * 1000 < 1048576 THEN format('{:.2f} KB', p_partkey * 1000 / 1024) ELSE format('{:.2f} MB', p_partkey * 1000 / 1048576) END AS f12, hex(p_name) AS f13, p_name AS f14, 'Hello-World It' AS f15, instr(p_name, 'i')::int AS f16, left(p_name, 3) AS f17, right(p_name, 3) AS f18, 2 AS f19, CASE WHEN instr(substr(p_name, 2), 'i') > 0 THEN instr(substr(p_name, 2), 'i') + 1 ELSE 0 END::int AS f20, upper(p_name) AS f21, lower(p_brand) AS f22 FROM part""",
+  CASE WHEN p_partkey * 1000 + 1 < 1024 THEN (p_partkey * 1000 + 1)::varchar || ' B' WHEN p_partkey * 1000 + 1 < 1048576 THEN format('{:.2f} KB', (p_partkey * 1000 + 1) / 1024) ELSE format('{:.2f} MB', (p_partkey * 1000 + 1) / 1048576) END AS f12, hex(p_name) AS f13, p_name AS f14, 'Hello-World It' AS f15, instr(p_name, 'i')::int AS f16, left(p_name, 3) AS f17, right(p_name, 3) AS f18, 2 AS f19, CASE WHEN instr(substr(p_name, 2), 'i') > 0 THEN instr(substr(p_name, 2), 'i') + 1 ELSE 0 END::int AS f20, upper(p_name) AS f21, lower(p_brand) AS f22 FROM part""",
     ),
     "fn_string_2": (
         "SELECT p_partkey AS k, lpad(p_name, 14, '*') AS f1, lpad(p_name, -1, '*') AS f2, rpad(p_name, 14, '*') AS f3, ltrim('  a ') AS f4, rtrim(' a  ') AS f5, trim('  a  ') AS f6, money_format(p_retailprice) AS f7, null_or_empty(p_name) AS f8, null_or_empty('') AS f9, parse_url('http://a.b/c?q=1', 'HOST') AS f10, regexp_count(p_name, '[aeiou]') AS f11, regexp_extract(p_name, '([a-z]+) ([a-z]+)', 2) AS f12, regexp_extract_all('a1b22', '([0-9]+)', 1) AS f13, regexp_position(p_name, 'zzz') AS f14, regexp_replace(p_name, '[aeiou]', '_') AS f15, repeat('ab', 3) AS f16, replace(p_name, 'r', 'R') AS f17, reverse(p_name) AS f18, space(3) AS f19, split_part(p_name, ' ', 2) AS f20, split_part(p_name, ' ', 0) AS f21, split('a.b.c', '.') AS f22, strpos(p_name, 'n') AS f23, strpos('abcabc', 'b', 2) AS f24, strpos('abcabc', 'b', -1) AS f25 FROM part",
