@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions.dialect import expand
+from .functions.dialect import expand, statements
 from .functions.udfs import register
 from .session import configure
 
@@ -50,9 +48,8 @@ class Engine:
     def execute(self, script: str) -> DataFrame | None:
         """Statements separated by semicolons; the last one's result."""
         out = None
-        for statement in re.split(r";\s*(?:\n|$)", script):
-            if statement.strip():
-                out = self.query(statement)
+        for statement in statements(script):
+            out = self.query(statement)
         return out
 
     def tables(self) -> DataFrame:
