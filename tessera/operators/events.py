@@ -7,20 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def session_number(x: Column, delta: int | Column, keys: list[str], order: list) -> Column:
-    """1, 2, ... along the order: a new session where x is over delta above the last non-NULL x. NULL x gives NULL."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    last = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    delta = F.lit(delta) if not isinstance(delta, Column) else delta
-    opens = F.when(x.isNotNull() & last.isNotNull() & (x - last > delta), 1).otherwise(0)
-    # A window function over another: the flag is a column of its own when used through with_session_number.
-    return opens
+from .ordered import running_total
 
 
 def with_session_number(df: DataFrame, x: str, delta: int, keys: list[str], order: list, out: str = "session") -> DataFrame:
+    """1, 2, ... along the order: a new session where x is over delta above the last non-NULL x. NULL x gives NULL."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    flagged = df.withColumn("__opens", session_number(F.col(x), delta, keys, order))
+    last = F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = df.withColumn("__opens", F.coalesce((F.col(x) - last > delta).cast("int"), F.lit(0)))
     return flagged.withColumn(out, F.when(F.col(x).isNotNull(), F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1)).drop("__opens")
 
 
@@ -75,9 +69,7 @@ def equi_height_histogram(df: DataFrame, column: str, buckets: int) -> DataFrame
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))
     total = counts.agg(F.sum("c").alias("n"))
-    # Ordered by parts: the sums before each range are added to what a window over one range gives.
-    w = Window.orderBy("v")
-    upto = counts.withColumn("upto", F.sum("c").over(w)).crossJoin(F.broadcast(total))
+    upto = running_total(counts, ["v"], F.col("c"), "upto").crossJoin(F.broadcast(total))
     bucket = F.ceil(F.col("upto") * buckets / F.col("n")).cast("int")
     rows = upto.withColumn("bucket", bucket).groupBy("bucket")
     return rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("upto").alias("rows"), F.max_by("c", "v").alias("repeats"))

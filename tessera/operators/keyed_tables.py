@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import running_total
+
 
 def _merged(op: str, c: str, version: Column) -> Column:
     op = op.upper()
@@ -58,13 +60,9 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.where(~F.coalesce(predicate, F.lit(False)))
 
 
-def auto_increment(df: DataFrame, column: str, order: list, start: int = 1) -> DataFrame:
-    """Gapless numbers by order without sorting all rows in one task: a range sort, counts by partition, then offsets."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    ranked = parts.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy("__at")))
-    counts = ranked.groupBy("__part").agg(F.count("*").alias("__n"))  # a row a partition
-    before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return ranked.join(F.broadcast(before), "__part").withColumn(column, F.col("__in") + F.col("__before") + (start - 1)).drop("__part", "__at", "__in", "__before")
+def auto_increment(df: DataFrame, column: str, by: list[str], start: int = 1, descending: bool = False) -> DataFrame:
+    """Gapless numbers in the order of by, whose values should be distinct."""
+    return running_total(df, by, F.lit(1), column, descending).withColumn(column, F.col(column) + (start - 1))
 
 
 def assert_num_rows(df: DataFrame, n: int, relation: str = "<=") -> DataFrame:

@@ -11,8 +11,8 @@ QUERIES = {
         f"SELECT k, list_append(a, 9) AS f1, (a[1] + a[2] + a[3]) / 3.0::double AS f2, list_concat(a, b) AS f3, coalesce(list_contains(a, 2), false) AS f4, true AS f5, len(list_filter(b, lambda x: NOT list_contains(a, x))) = 0 AS f6, 4 AS f7, (a[1] + a[2] + a[3])::bigint AS f8, list_max(a) AS f9, list_min(a) AS f10, CASE WHEN b[1] = 2 THEN [2] ELSE b END AS f11, list_sort(a, 'ASC', 'NULLS FIRST') AS f12, list_filter(a, lambda x: x IS DISTINCT FROM 1) AS f13 FROM {B}",
     ),
     "fn_array_2": (
-        f"SELECT k, array_position(a, 2) AS f1, array_slice(a, 2, 2) AS f2, array_slice(a, 0, 2) AS f3, array_top_n(a, 2) AS f4, array_join(s, '-') AS f5, array_flatten(array(b, b)) AS f6, array_intersect(array_remove(a, cast(NULL as int)), b) AS f7, arrays_overlap(a, b) AS f8, element_at(a, 1) AS f9, element_at(a, 99) AS f10, array_repeat(k, 3) AS f11, array_map(x -> x * 2, b) AS f12, array_map((x, y) -> x + y, b, b) AS f13, array_difference(b) AS f14, array_cum_sum(b) AS f15 FROM {A}",
-        f"SELECT k, coalesce(list_position(a, 2), 0) AS f1, a[2:3] AS f2, []::int[] AS f3, list_sort(a, 'DESC', 'NULLS LAST')[1:2] AS f4, array_to_string(s, '-') AS f5, flatten([b, b]) AS f6, list_distinct(list_filter(a, lambda x: list_contains(b, x))) AS f7, len(list_filter(a, lambda x: list_contains(b, x))) > 0 AS f8, a[1] AS f9, cast(NULL as int) AS f10, [k, k, k] AS f11, [x * 2 for x in b] AS f12, [x + x for x in b] AS f13, [0, b[2] - b[1]] AS f14, [b[1], b[1] + b[2]]::bigint[] AS f15 FROM {B}",
+        f"SELECT k, array_position(a, 2) AS f1, array_slice(a, 2, 2) AS f2, array_slice(a, 0, 2) AS f3, array_top_n(a, 2) AS f4, array_join(s, '-') AS f5, array_flatten(array(b, b)) AS f6, sort_array(array_intersect(array_remove(a, cast(NULL as int)), b)) AS f7, arrays_overlap(a, b) AS f8, element_at(a, 1) AS f9, element_at(a, 99) AS f10, array_repeat(k, 3) AS f11, array_map(x -> x * 2, b) AS f12, array_map((x, y) -> x + y, b, b) AS f13, array_difference(b) AS f14, array_cum_sum(b) AS f15 FROM {A}",
+        f"SELECT k, coalesce(list_position(a, 2), 0) AS f1, a[2:3] AS f2, []::int[] AS f3, list_sort(a, 'DESC', 'NULLS LAST')[1:2] AS f4, array_to_string(s, '-') AS f5, flatten([b, b]) AS f6, list_sort(list_distinct(list_filter(a, lambda x: list_contains(b, x)))) AS f7, len(list_filter(a, lambda x: list_contains(b, x))) > 0 AS f8, a[1] AS f9, cast(NULL as int) AS f10, [k, k, k] AS f11, [x * 2 for x in b] AS f12, [x + x for x in b] AS f13, [0, b[2] - b[1]] AS f14, [b[1], b[1] + b[2]]::bigint[] AS f15 FROM {B}",
     ),
     "fn_array_3": (
         "SELECT k, all_match(transform(b, x -> x > 0)) AS f1, any_match(transform(b, x -> x > 3)) AS f2, array_filter(b, transform(b, x -> x > 1)) AS f3, array_contains_seq(array(1, 2, 3, k), array(2, 3)) AS f4, array_generate(1, 9, 3) AS f5, array_generate(5) AS f6, array_sortby(array('a', 'b', 'c'), array(3, 1, 2)) AS f7, array_sort_lambda(b, (x, y) -> y - x) AS f8 FROM (SELECT n_nationkey AS k, array(n_regionkey, 2, n_nationkey) AS b FROM nation) t",
