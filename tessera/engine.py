@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import expand, statements
-from .functions.udfs import register
+from .functions.udfs import NAMES, register
 from .session import configure
 
 
@@ -22,7 +24,8 @@ class Engine:
             if spark.conf.isModifiable(key):
                 self.spark.conf.set(key, value)
         configure(self.spark)
-        register(self.spark)
+        self._udfs: set[str] = set()
+        self._names: set[str] = set()
 
     def register_parquet(self, name: str, path: str) -> DataFrame:
         return self.register(name, self.spark.read.parquet(path))
@@ -30,8 +33,12 @@ class Engine:
     def register_orc(self, name: str, path: str) -> DataFrame:
         return self.register(name, self.spark.read.orc(path))
 
+    def has(self, name: str) -> bool:
+        return name.lower() in self._names
+
     def register(self, name: str, df: DataFrame) -> DataFrame:
         df.createOrReplaceTempView(name.lower())
+        self._names.add(name.lower())
         return df
 
     def register_dir(self, path: str, names: list[str]) -> Engine:
@@ -40,10 +47,18 @@ class Engine:
         return self
 
     def query(self, sql: str) -> DataFrame:
-        return self.spark.sql(expand(sql))
+        return self.spark.sql(self._prepared(sql))
+
+    def _prepared(self, sql: str) -> str:
+        """The SQL expanded, and the Arrow functions that it names made known to the session."""
+        sql = expand(sql)
+        new = (NAMES & {w.lower() for w in re.findall(r"\w+", sql)}) - self._udfs
+        register(self.spark, new)
+        self._udfs |= new
+        return sql
 
     def explain(self, sql: str, mode: str = "formatted") -> str:
-        return self.spark.sql(f"EXPLAIN {mode.upper()} {expand(sql)}").first()[0]
+        return self.spark.sql(f"EXPLAIN {mode.upper()} {self._prepared(sql)}").first()[0]
 
     def execute(self, script: str) -> DataFrame | None:
         """Statements separated by semicolons; the last one's result."""

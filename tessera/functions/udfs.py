@@ -173,11 +173,7 @@ def _each(f, kind: str):
     return run
 
 
-def _of_columns(cols, v):
-    return b"".join(iceberg_bytes(x) for x in v)
-
-
-def register(spark: SparkSession) -> None:
+def named_udfs() -> dict:
     import xxhash
 
     @F.pandas_udf("int")
@@ -219,7 +215,7 @@ def register(spark: SparkSession) -> None:
     def histogram(x: pd.Series, buckets: pd.Series) -> str:
         return histogram_json(x, int(buckets.iloc[0]))
 
-    named = {
+    return {
         "murmur_hash3_32": murmur_hash3_32,
         "xx_hash3_128": xx_hash3_128,
         "encode_sort_key": encode_sort_key,
@@ -235,5 +231,32 @@ def register(spark: SparkSession) -> None:
         "bitmap_to_base64": _each(lambda v: base64.b64encode(bitmap_bytes(v)).decode(), "string"),
         "__iceberg_transform_bucket": _each(lambda v, n: (murmur3_32(iceberg_bytes(v)) & 0x7FFFFFFF) % int(n), "int"),
     }
-    for name, f in named.items():
-        spark.udf.register(name, f)
+
+
+#: The names that named_udfs() gives.
+NAMES = frozenset(
+    """
+    murmur_hash3_32
+    xx_hash3_128
+    encode_sort_key
+    encode_fingerprint_sha256
+    encode_row_id
+    mann_whitney_u_test
+    histogram
+    sm3
+    ngram_search
+    ngram_search_case_insensitive
+    bitmap_to_binary
+    bitmap_from_binary
+    bitmap_to_base64
+    __iceberg_transform_bucket
+    """.split()
+)
+
+
+def register(spark: SparkSession, names: set[str]) -> None:
+    """Make the functions of these names known to the session."""
+    if names:
+        found = named_udfs()
+        for name in sorted(names):
+            spark.udf.register(name, found[name])

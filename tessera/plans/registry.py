@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,14 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from ..engine import Engine
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
+_engines: dict[tuple[str, str], Engine] = {}
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(spark).register_dir(sf_dir, TABLES)
+def engine(spark: SparkSession, sf_dir: str, sql: str) -> Engine:
+    """One engine an application and folder, with the tables that the SQL names."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _engines:
+        _engines[key] = Engine(spark)
+    own = _engines[key]
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", sql) and not own.has(name):
+            own.register_parquet(name, f"{sf_dir}/{name}.parquet")
+    return own
 
 
 def by_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: engine(spark, sf_dir).query(sql)
+    return lambda spark, sf_dir: engine(spark, sf_dir, sql).query(sql)
 
 
 def _modules():
