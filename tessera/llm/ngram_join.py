@@ -11,8 +11,11 @@ Inside a tile, hashed bitmaps of the sets bound the overlap from above: the
 overlap is at most (|A| + |B| - differing bits) / 2. What passes is decided by
 intersecting the sorted arrays. First each node is compared with one pivot of
 its tiles; linked nodes become components. Then only tiles that still hold
-several components are searched for pairs across components, so that large
-groups of near copies cost no more than their size and yet no link between
+several components are searched for pairs across components. Of those that the
+bitmaps allow, a tile puts forward the likeliest few for each edge of a spanning
+forest of its components; they are decided, and the search goes on without the
+pairs found unlinked, until no undecided pair is left between components. So
+large groups of near copies cost about their size, and no link between
 different components is lost.
 
 Defined cases. Null or empty text, or text without words, has an empty set and
@@ -32,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, as_bytes, content_key
 
 BLOCK = 1024
-BITS_PER_DIFFERENCE = 5
+BITS_PER_DIFFERENCE = 12
+ROUNDS = 40
 BLOOM_WORDS = 1 << 20
 SKETCH_BITS, CHUNK = 20, 4096
 U64 = np.uint64
@@ -297,10 +301,38 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots.select("node", F.col("node").alias("comp")))
 
 
-def _tile_pairs(num: int, den: int):
-    """Pairs of nodes in different components whose bitmaps let them be linked, from rows sorted by tile."""
-
-    def pairs(n, node, comp, block, bits, two_blocks):
+def _forest(a: np.ndarray, b: np.ndarray, slack: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs between components a and b, the `most` of highest slack for each edge of a spanning forest."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((-slack, high, low))
+    low, high, slack = low[order], high[order], slack[order]
+    starts = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+    ends = np.r_[starts[1:], len(order)]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = root[x]
+        return x
+
+    kept = []
+    left = len(np.unique(np.r_[low, high])) - 1
+    for e in (-slack[starts]).argsort(kind="stable"):
+        x, y = find(int(low[starts[e]])), find(int(high[starts[e]]))
+        if x != y:
+            root[x] = y
+            kept.append(order[starts[e] : min(ends[e], starts[e] + most)])
+            left -= 1
+            if not left:
+                break
+    return np.concatenate(kept)
+
+
+def _tile_pairs(num: int, den: int, most_pairs: int):
+    """Pairs of nodes in different components to be decided next, from rows sorted by tile."""
+
+    def pairs(n, node, comp, block, bits, no, two_blocks):
         own: dict[int, list[int]] = {}
         for i, raw in enumerate(bits):
             own.setdefault(len(raw), []).append(i)
@@ -320,58 +352,81 @@ def _tile_pairs(num: int, den: int):
                     if x == y:
                         ok[: r + 1] = False
                     c = np.flatnonzero(ok)
+                    if len(c) and no[i]:
+                        c = c[~np.isin(node[aj[c]], no[i])]
                     if not len(c):
                         continue
                     total = n[aj[c]] + n[i]
                     most = (total - np.bitwise_count(bm[c] ^ am[r]).sum(axis=1, dtype=np.int64)) // 2
-                    c = c[den * most >= num * (total - most)]
+                    slack = den * most - num * (total - most)
+                    c, slack = c[slack >= 0], slack[slack >= 0]
                     if len(c):
-                        yield np.minimum(node[aj[c]], node[i]), np.maximum(node[aj[c]], node[i])
+                        yield np.full(len(c), i), aj[c], slack / (n[i] + 1)
+
+    def tile(cols, bits, no):
+        _, _, bi, bj, n, node, comp, block = cols
+        found = list(pairs(n, node, comp, block, bits, no, bi[0] != bj[0])) if (comp != comp[0]).any() else []
+        if found:
+            i, j, slack = (np.concatenate(z) for z in zip(*found, strict=True))
+            at = _forest(comp[i], comp[j], slack, most_pairs)
+            a, b = node[i[at]], node[j[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches):
         names = ("key", "band", "bi", "bj", "n", "node", "comp", "block")
-        held: list[np.ndarray] | None = None
-        held_bits: list[bytes] = []
-
-        def tile(cols, bits):
-            found = list(pairs(*cols[4:8], bits, cols[2][0] != cols[3][0])) if (cols[6] != cols[6][0]).any() else []
-            if found:
-                a, b = (np.concatenate(z) for z in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
+        held: list | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
-            bits = batch.column("bits").to_pylist()
+            bits, no = batch.column("bits").to_pylist(), batch.column("no").to_pylist()
             if held is not None:
-                cols, bits = [np.concatenate(z) for z in zip(held, cols, strict=True)], held_bits + bits
+                cols, bits, no = [np.concatenate(z) for z in zip(held[0], cols, strict=True)], held[1] + bits, held[2] + no
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             at = [0, *new.tolist()]
             for s, e in zip(at[:-1], at[1:], strict=True):
-                yield from tile([c[s:e] for c in cols], bits[s:e])
-            held, held_bits = [c[at[-1] :] for c in cols], bits[at[-1] :]
+                yield from tile([c[s:e] for c in cols], bits[s:e], no[s:e])
+            held = [[c[at[-1] :] for c in cols], bits[at[-1] :], no[at[-1] :]]
         if held is not None:
-            yield from tile(held, held_bits)
+            yield from tile(*held)
 
     return run
 
 
-def across(members: DataFrame, comp: DataFrame, info: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """Candidate pairs a, b across components, from the size-banded tiles that hold several."""
-    known = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    known = scratch.table(known.join(info.select("node", "n", "band"), "node"), "known")
+def across(members: DataFrame, comp: DataFrame, info: DataFrame, unlinked: DataFrame | None, scratch: Scratch, name: str, num: int, den: int, most_pairs: int) -> DataFrame:
+    """Pairs a, b across components to be decided next, from the size-banded tiles that hold several components."""
+    known = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(info.select("node", "n", "band"), "node")
     # A set is in its own band's tile and in the next lower one, where smaller sets may be linked with it.
-    banded = known.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    banded = scratch.table(known.withColumn("band", F.explode(F.array("band", F.col("band") - 1))), f"{name}-banded")
     tile = ["key", "band"]
     per = banded.groupBy(*tile).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select(*tile, "held")
-    rows = banded.join(per, tile).join(info.select("node", "bits"), "node")
+    no = F.lit(None).cast("array<long>").alias("no")
+    more = info.select("node", "bits", no)
+    if unlinked is not None:
+        both = unlinked.select(F.col("a").alias("node"), "b").union(unlinked.select(F.col("b").alias("node"), "a"))
+        more = info.select("node", "bits").join(both.groupBy("node").agg(F.collect_set("b").alias("no")), "node", "left")
+    rows = banded.join(per, tile).join(more, "node")
     rows = rows.withColumn("blocks", F.floor((F.col("held") - 1) / BLOCK).cast("int") + 1).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*tile, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "n", "node", "comp", "block", "bits")
+    rows = rows.select(*tile, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "n", "node", "comp", "block", "bits", "no")
     by = [*tile, "bi", "bj"]
-    pairs = rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_tile_pairs(num, den), "a long, b long")
-    return scratch.table(pairs.distinct(), "across")
+    pairs = rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_tile_pairs(num, den, most_pairs), "a long, b long")
+    return scratch.table(pairs.distinct(), f"{name}-across")
+
+
+def joined_across(members: DataFrame, comp: DataFrame, info: DataFrame, arr: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """node, comp: the components when every pair across them that the bitmaps allow has been decided."""
+    unlinked = None
+    for i in range(ROUNDS):
+        pairs = across(members, comp, info, unlinked, scratch, f"round{i}", num, den, 4**i)
+        if not pairs.head(1):
+            return comp
+        links = scratch.table(verified(pairs, arr, num, den), f"round{i}-links")
+        failed = pairs.join(links, ["a", "b"], "left_anti")
+        unlinked = scratch.table(failed if unlinked is None else unlinked.union(failed), f"round{i}-unlinked")
+        if links.head(1):
+            comp = scratch.table(components(links.union(comp.select("node", "comp")), scratch, f"round{i}"), f"round{i}-comp")
+    raise RuntimeError("pairs across components did not settle")
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -396,9 +451,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: i
         arr = arrays(keyed, info.select("__k1"), words, scratch, "arrays")
         links = scratch.table(verified(pivots, arr, num, den), "links1")
         comp = scratch.table(components(links, scratch, "first"), "comp1")
-        more = verified(across(members, comp, info, scratch, num, den), arr, num, den)
-        links = scratch.table(links.union(more), "links2")
-        comp = scratch.table(components(links, scratch, "second"), "comp2")
+        comp = joined_across(members, comp, info, arr, scratch, num, den)
         rep = owned.groupBy("node").agg(F.min("doc_id").alias("rep"))
         rep = rep.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = rep.groupBy("comp").agg(F.min("rep").alias("least"))
