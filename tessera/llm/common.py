@@ -16,13 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, single machines)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _temporary:
+        _temporary[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    return _temporary[app]
 
 
 class Scratch:
