@@ -273,11 +273,38 @@ def _verify(num: int, den: int):
     return run
 
 
-def verified(pairs: DataFrame, arr: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs a, b that are linked, by intersecting sorted arrays."""
+def _allowed(num: int, den: int):
+    """Of pairs with both bitmaps, those that the bound lets be linked."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
+                x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                differ = int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+                most = (n + m - differ) // 2
+                keep.append(den * most >= num * (n + m - most))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
+def allowed(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
+    one = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
+    both = one.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_allowed(num, den), "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
+    """The pairs a, b that are linked, by intersecting sorted arrays, which only these pairs' nodes get."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(info.select("node", "__k1"), "node")
+    arr = arrays(docs, nodes.select("__k1"), words, scratch, f"{name}-arrays")
     one = pairs.join(arr.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
     both = one.join(arr.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-    return both.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long")
+    links = scratch.table(both.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long"), f"{name}-links")
+    scratch.drop(f"{name}-arrays")
+    return links
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -414,14 +441,14 @@ def across(members: DataFrame, comp: DataFrame, info: DataFrame, unlinked: DataF
     return scratch.table(pairs.distinct(), f"{name}-across")
 
 
-def joined_across(members: DataFrame, comp: DataFrame, info: DataFrame, arr: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def joined_across(members: DataFrame, comp: DataFrame, info: DataFrame, docs: DataFrame, words: int, scratch: Scratch, num: int, den: int) -> DataFrame:
     """node, comp: the components when every pair across them that the bitmaps allow has been decided."""
     unlinked = None
     for i in range(ROUNDS):
         pairs = across(members, comp, info, unlinked, scratch, f"round{i}", num, den, 4**i)
         if not pairs.head(1):
             return comp
-        links = scratch.table(verified(pairs, arr, num, den), f"round{i}-links")
+        links = verified(pairs, docs, info, words, scratch, f"round{i}", num, den)
         failed = pairs.join(links, ["a", "b"], "left_anti")
         unlinked = scratch.table(failed if unlinked is None else unlinked.union(failed), f"round{i}-unlinked")
         if links.head(1):
@@ -448,10 +475,10 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: i
         nodes = members.select("node").distinct()
         text_of = owned.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__k1").alias("__k1"), F.first("n").alias("n"), F.first("band").alias("band"), F.max("bits").alias("bits"))
         info = scratch.table(text_of, "info")
-        arr = arrays(keyed, info.select("__k1"), words, scratch, "arrays")
-        links = scratch.table(verified(pivots, arr, num, den), "links1")
+        pivots = scratch.table(allowed(pivots, info, num, den), "pivots-allowed")
+        links = verified(pivots, keyed, info, words, scratch, "pivots", num, den)
         comp = scratch.table(components(links, scratch, "first"), "comp1")
-        comp = joined_across(members, comp, info, arr, scratch, num, den)
+        comp = joined_across(members, comp, info, keyed, words, scratch, num, den)
         rep = owned.groupBy("node").agg(F.min("doc_id").alias("rep"))
         rep = rep.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = rep.groupBy("comp").agg(F.min("rep").alias("least"))
