@@ -14,9 +14,11 @@ its tiles; linked nodes become components. Then only tiles that still hold
 several components are searched for pairs across components. Of those that the
 bitmaps allow, a tile puts forward the likeliest few for each edge of a spanning
 forest of its components; they are decided, and the search goes on without the
-pairs found unlinked, until no undecided pair is left between components. So
-large groups of near copies cost about their size, and no link between
-different components is lost.
+pairs found unlinked. After FORESTS rounds one last step decides every pair that
+the bitmaps still allow between components, in tiles to which a set's array goes
+once. So large groups of near copies cost about their size, and no link between
+different components is lost; many sets all alike and all just below the
+threshold cost the square of their number in pairs of ids.
 
 Defined cases. Null or empty text, or text without words, has an empty set and
 is its own class. Fewer words than a shingle's: the whole sequence is the one
@@ -36,7 +38,8 @@ from .common import Scratch, as_bytes, content_key
 
 BLOCK = 1024
 BITS_PER_DIFFERENCE = 12
-ROUNDS = 40
+FORESTS = 6
+TILE_SHINGLES = 1 << 21
 BLOOM_WORDS = 1 << 20
 SKETCH_BITS, CHUNK = 20, 4096
 U64 = np.uint64
@@ -356,8 +359,8 @@ def _forest(a: np.ndarray, b: np.ndarray, slack: np.ndarray, most: int) -> np.nd
     return np.concatenate(kept)
 
 
-def _tile_pairs(num: int, den: int, most_pairs: int):
-    """Pairs of nodes in different components to be decided next, from rows sorted by tile."""
+def _tile_pairs(num: int, den: int, most_pairs: int | None):
+    """Pairs of nodes in different components to be decided next, all where most_pairs is None, from rows sorted by tile."""
 
     def pairs(n, node, comp, block, bits, no, two_blocks):
         own: dict[int, list[int]] = {}
@@ -395,7 +398,7 @@ def _tile_pairs(num: int, den: int, most_pairs: int):
         found = list(pairs(n, node, comp, block, bits, no, bi[0] != bj[0])) if (comp != comp[0]).any() else []
         if found:
             i, j, slack = (np.concatenate(z) for z in zip(*found, strict=True))
-            at = _forest(comp[i], comp[j], slack, most_pairs)
+            at = slice(None) if most_pairs is None else _forest(comp[i], comp[j], slack, most_pairs)
             a, b = node[i[at]], node[j[at]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -420,7 +423,7 @@ def _tile_pairs(num: int, den: int, most_pairs: int):
     return run
 
 
-def across(members: DataFrame, comp: DataFrame, info: DataFrame, unlinked: DataFrame | None, scratch: Scratch, name: str, num: int, den: int, most_pairs: int) -> DataFrame:
+def across(members: DataFrame, comp: DataFrame, info: DataFrame, unlinked: DataFrame | None, scratch: Scratch, name: str, num: int, den: int, most_pairs: int | None) -> DataFrame:
     """Pairs a, b across components to be decided next, from the size-banded tiles that hold several components."""
     known = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(info.select("node", "n", "band"), "node")
     # A set is in its own band's tile and in the next lower one, where smaller sets may be linked with it.
@@ -441,19 +444,64 @@ def across(members: DataFrame, comp: DataFrame, info: DataFrame, unlinked: DataF
     return scratch.table(pairs.distinct(), f"{name}-across")
 
 
+def _decide(num: int, den: int):
+    """Linked pairs, from rows sorted by tile, a tile's arrays (a is null, b the node) before its pairs."""
+
+    def run(batches):
+        bands, tile, sets = Bands(num, den), None, {}
+        for batch in batches:
+            linked = []
+            for comp, bi, bj, a, b, h in zip(*(batch.column(c).to_pylist() for c in ("comp", "bi", "bj", "a", "b", "h")), strict=True):
+                if (comp, bi, bj) != tile:
+                    tile, sets = (comp, bi, bj), {}
+                if a is None:
+                    sets[b] = np.frombuffer(h, U64)
+                    continue
+                x, y = sorted((sets[a], sets[b]), key=len)
+                both = int((y[np.minimum(y.searchsorted(x), len(y) - 1)] == x).sum())
+                if bands.linked(len(x), len(y), both):
+                    linked.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
+    """The pairs a, b that are linked, as verified finds them, but of many pairs: an array goes once to each tile that holds pairs of it."""
+    group = scratch.table(components(pairs, scratch, name), f"{name}-groups")
+    sized = group.join(info.select("node", "n", "__k1"), "node")
+    blocks = sized.groupBy("comp").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("blocks"))
+    placed = sized.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = scratch.table(placed.select("node", "__k1", "comp", "block"), f"{name}-placed")
+    one = pairs.join(placed.select(F.col("node").alias("a"), "comp", F.col("block").alias("x")), "a")
+    both = one.join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    tile = ["comp", "bi", "bj"]
+    dealt = scratch.table(both.select("comp", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "a", "b"), f"{name}-dealt")
+    arr = arrays(docs, placed.select("__k1"), words, scratch, f"{name}-arrays")
+    held = dealt.select(*tile, F.col("a").alias("node")).union(dealt.select(*tile, "b")).distinct().join(arr, "node")
+    held = held.select(*tile, F.lit(None).cast("long").alias("a"), F.col("node").alias("b"), "h")
+    rows = held.union(dealt.select(*tile, "a", "b", F.lit(None).cast("binary").alias("h")))
+    links = rows.repartition(*tile).sortWithinPartitions(*tile, F.asc_nulls_first("a")).mapInArrow(_decide(num, den), "a long, b long")
+    links = scratch.table(links, f"{name}-links")
+    scratch.drop(f"{name}-arrays")
+    return links
+
+
 def joined_across(members: DataFrame, comp: DataFrame, info: DataFrame, docs: DataFrame, words: int, scratch: Scratch, num: int, den: int) -> DataFrame:
     """node, comp: the components when every pair across them that the bitmaps allow has been decided."""
     unlinked = None
-    for i in range(ROUNDS):
-        pairs = across(members, comp, info, unlinked, scratch, f"round{i}", num, den, 4**i)
+    for i in range(FORESTS + 1):
+        last = i == FORESTS
+        pairs = across(members, comp, info, unlinked, scratch, f"round{i}", num, den, None if last else 4**i)
         if not pairs.head(1):
-            return comp
-        links = verified(pairs, docs, info, words, scratch, f"round{i}", num, den)
-        failed = pairs.join(links, ["a", "b"], "left_anti")
-        unlinked = scratch.table(failed if unlinked is None else unlinked.union(failed), f"round{i}-unlinked")
+            break
+        links = (decided if last else verified)(pairs, docs, info, words, scratch, f"round{i}", num, den)
+        if not last:
+            failed = pairs.join(links, ["a", "b"], "left_anti")
+            unlinked = scratch.table(failed if unlinked is None else unlinked.union(failed), f"round{i}-unlinked")
         if links.head(1):
-            comp = scratch.table(components(links.union(comp.select("node", "comp")), scratch, f"round{i}"), f"round{i}-comp")
-    raise RuntimeError("pairs across components did not settle")
+            comp = scratch.table(components(links.union(comp.select("node", "comp")), scratch, f"round{i}-joined"), f"round{i}-comp")
+    return comp
 
 
 def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:

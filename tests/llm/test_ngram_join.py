@@ -58,6 +58,22 @@ def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain(rows, 3, 9, 10)
 
 
+def test_many_alike_below_the_threshold(spark):
+    words = [f"w{i}" for i in range(42)]
+    rows = [(i, " ".join([*words[:20], f"own{i}", *words[21:]])) for i in range(500)]  # 37 of 43 shingles shared
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(20)]  # 40 of 41
+    got = nj.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i % 1000 for i, _ in rows}
+
+
+def test_last_step_alone_finds_all_links(spark, monkeypatch):
+    monkeypatch.setattr(nj, "FORESTS", 0)
+    monkeypatch.setattr(nj, "TILE_SHINGLES", 500)
+    rows = fixture()
+    got = nj.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain(rows, 3, 9, 10)
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = fixture()
     out = nj.without_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5)
