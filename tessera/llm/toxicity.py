@@ -168,13 +168,19 @@ DEFAULT = [-4.0, 7.0, 8.0, 2.0, 3.0, 1.0, 4.0]
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> list[float]:
-    """Logistic regression by Newton's method; pattern weights are kept from falling below 0."""
+    """Logistic regression by Newton's method; pattern weights are kept from falling below 0.
+
+    The ridge pulls the log odds of a text without or with one match of a pattern to what the fixed
+    values give, so a pattern that the sample doesn't show keeps them, whatever the bias.
+    """
     x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
+    w = np.array(DEFAULT)
+    one = np.c_[np.ones(len(w)), math.log(2) * np.eye(len(w))[:, 1:]]
+    odds = one @ w
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        r = ridge * np.r_[0.0, np.ones(len(w) - 1)]
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(r + 1e-9), x.T @ (y - p) - r * w)
+        pull = ridge * one.T @ (odds - one @ w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * one.T @ one + 1e-9 * np.eye(len(w)), x.T @ (y - p) + pull)
         w = w + np.clip(step, -2, 2)
         w[1:] = np.maximum(w[1:], 0)
         if np.abs(step).max() < 1e-6:

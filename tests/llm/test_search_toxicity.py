@@ -84,6 +84,16 @@ def test_learned_scores_hold_out(spark):
     assert sum(a == b for a, b in held) / len(held) > 0.97 and len(held) > 200
 
 
+def test_patterns_the_sample_does_not_show_keep_their_odds():
+    x = np.zeros((600, 6))
+    x[:120, 0] = np.log1p(3)
+    w = tx.fit(x, np.r_[np.ones(120), np.zeros(480)])
+    fixed = [tx.DEFAULT[0] + np.log(2) * v for v in tx.DEFAULT[1:]]
+    assert np.allclose([w[0] + np.log(2) * v for v in w[2:]], fixed[1:], atol=1e-3)
+    assert 1 / (1 + np.exp(-(w[0] + np.log(2) * w[2]))) >= tx.THRESHOLD > 0.5 > 1 / (1 + np.exp(-w[0]))
+    assert -10 < w[0] < -4
+
+
 def test_without_labels_and_documents(spark):
     docs = spark.createDataFrame([(1, "you idiot, you moron"), (2, "fine words")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
