@@ -11,8 +11,8 @@ WHERE NOT (v > 90) OR v IS NULL OR event_type IN ('click', 'view', NULL)""",
     "filter_between_in_like": "SELECT p_partkey, p_name FROM part WHERE p_size BETWEEN 3 AND 17 AND p_brand IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#12', 'Brand#13') AND p_name LIKE '%e%' AND p_name NOT LIKE '%zz%'",
     "limit_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 100",
     "topn_heap": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50",
-    "sort_nulls_first": "SELECT event_id, k FROM (SELECT event_id, nullif(event_type, 'click') AS k FROM events WHERE event_id < 500) t ORDER BY k NULLS FIRST, event_id LIMIT 120",
-    "sort_nulls_last_desc": "SELECT event_id, k FROM (SELECT event_id, nullif(event_type, 'click') AS k FROM events WHERE event_id < 500) t ORDER BY k DESC NULLS LAST, event_id LIMIT 120",
+    "sort_nulls_first": "SELECT event_id, k FROM (SELECT event_id, nullif(event_type, 'click') AS k FROM events) t ORDER BY k NULLS FIRST, event_id",
+    "sort_nulls_last_desc": "SELECT event_id, k FROM (SELECT event_id, nullif(event_type, 'click') AS k FROM events) t ORDER BY k DESC NULLS LAST, event_id",
     "sort_ordinal_alias": "SELECT n_name AS nm, n_regionkey AS rk FROM nation ORDER BY 2 DESC, nm LIMIT 10",
     "topn_rank_ties": "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) t WHERE r <= 10",
     "topn_dense_rank_ties": "SELECT p_brand, p_partkey, p_size FROM (SELECT p_brand, p_partkey, p_size, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS r FROM part) t WHERE r <= 2",
@@ -33,8 +33,6 @@ WHERE NOT (v > 90) OR v IS NULL OR event_type IN ('click', 'view', NULL)""",
     "join_comma": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey",
     "join_residual_outer": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 40",
     "join_self": "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
-    "join_range_bucketed": """SELECT e.event_id, o.o_orderkey FROM (SELECT event_id, cast(floor(value) as bigint) AS v FROM events WHERE event_id < 2000) e
-JOIN (SELECT o_orderkey, cast(floor(o_totalprice / 1000) as bigint) AS p FROM orders WHERE o_orderkey < 1000) o ON e.v BETWEEN o.p - 1 AND o.p + 1 AND e.v % 10 = 3""",
     "subquery_scalar_correlated": "SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 25) AS n FROM part",
     "subquery_in_select_exists": "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) THEN 1 ELSE 0 END AS has FROM customer",
     "subquery_or_exists": "SELECT c_custkey FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)",
@@ -63,8 +61,8 @@ BOTH = {
         "SELECT p_partkey, try_cast(p_name as int) AS a, cast(p_size as varchar) AS b, cast(p_size as double) AS c, try_cast('2024-01-' || lpad(cast(p_size as varchar), 2, '0') as date) AS d FROM part",
     ),
     "null_safe_equal_join": (
-        "SELECT a.event_id AS x, b.r_regionkey AS y FROM (SELECT event_id, nullif(user_id % 7, 3) AS k FROM events WHERE event_id < 300) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 3) AS k FROM region) b ON a.k <=> b.k",
-        "SELECT a.event_id AS x, b.r_regionkey AS y FROM (SELECT event_id, nullif(user_id % 7, 3) AS k FROM events WHERE event_id < 300) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 3) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k",
+        "SELECT a.event_id AS x, b.r_regionkey AS y FROM (SELECT event_id, nullif(user_id % 7, 3) AS k FROM events) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 3) AS k FROM region) b ON a.k <=> b.k",
+        "SELECT a.event_id AS x, b.r_regionkey AS y FROM (SELECT event_id, nullif(user_id % 7, 3) AS k FROM events) a JOIN (SELECT r_regionkey, nullif(r_regionkey, 3) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k",
     ),
     "join_right_semi": ("SELECT c_custkey FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal)"),
     "join_broadcast_hint": ("SELECT /*+ BROADCAST(nation) */ c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"),
@@ -80,7 +78,7 @@ BOTH = {
         "SELECT o.* FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15) k JOIN orders o USING (o_orderkey)",
     ),
     "meta_scan_min_max": ("SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi, count(*) AS n FROM lineitem", "SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi, count(*) AS n FROM lineitem"),
-    "typeof_info": ("SELECT typeof(p_partkey) AS a, typeof(p_name) AS b FROM part WHERE p_partkey < 3", "SELECT lower(typeof(p_partkey)) AS a, 'string' AS b FROM part WHERE p_partkey < 3"),
+    "typeof_info": ("SELECT typeof(p_partkey) AS a, typeof(p_name) AS b FROM part", "SELECT lower(typeof(p_partkey)) AS a, 'string' AS b FROM part"),
     "info_functions": ("SELECT current_database() AS db, version() IS NOT NULL AS v, current_user() IS NOT NULL AS u", "SELECT 'default' AS db, true AS v, true AS u"),
 }
 
