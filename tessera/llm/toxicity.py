@@ -208,26 +208,16 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int
         for batch in batches:
             for text, y in zip(as_texts(batch.column("text")), batch.column("__y").to_pylist(), strict=True):
                 seen[y].update(words_and_stems(text))
-        entries = list(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), pa.array([seen[1][e] for e in entries], pa.int64())], names=["entry", "__pos"])
+        entries = list(seen[0] | seen[1])
+        counts = [pa.array([seen[y][e] for e in entries], pa.int64()) for y in (1, 0)]
+        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *counts], names=["entry", "__pos", "__neg"])
 
-    pos = sample.mapInArrow(count, "entry string, __pos long").groupBy("entry").agg(F.sum("__pos").alias("__pos")).where(F.col("__pos") >= LEAST_DOCS)
-    pos = scratch.table(pos, "frequent")
-    listed = {r["entry"] for r in pos.orderBy(F.desc("__pos"), "entry").select("entry").limit(50 * MOST_ENTRIES).collect()}
-
-    def count_clean(batches):
-        seen = Counter()
-        for batch in batches:
-            for text, y in zip(as_texts(batch.column("text")), batch.column("__y").to_pylist(), strict=True):
-                if not y:
-                    seen.update(listed & words_and_stems(text))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["entry", "__neg"])
-
-    neg = sample.mapInArrow(count_clean, "entry string, __neg long").groupBy("entry").agg(F.sum("__neg").alias("__neg"))
+    # The sample's bound is that of the entries.
+    every = sample.mapInArrow(count, "entry string, __pos long, __neg long").groupBy("entry").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))
     rate = totals[1] / (totals[0] + totals[1])
-    n = F.col("__pos") + F.coalesce("__neg", F.lit(0))
+    n = F.col("__pos") + F.col("__neg")
     z = (F.col("__pos") - n * rate) / F.sqrt(n * rate * (1 - rate))
-    rated = pos.join(neg, "entry", "left").select("entry", (F.col("__pos") / n).alias("p"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("p") >= LEAST_PRECISION))
+    rated = every.where(F.col("__pos") >= LEAST_DOCS).select("entry", (F.col("__pos") / n).alias("p"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("p") >= LEAST_PRECISION))
     found = rated.orderBy(F.desc("z"), "entry").limit(MOST_ENTRIES).collect()
     entries = {r["entry"]: float(min(1.0, (r["p"] - rate) / (1 - rate))) for r in found}
 

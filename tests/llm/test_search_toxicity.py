@@ -94,6 +94,18 @@ def test_patterns_the_sample_does_not_show_keep_their_odds():
     assert -10 < w[0] < -4
 
 
+def test_every_entry_has_its_clean_count(spark, monkeypatch):
+    from tessera.llm.common import Scratch
+
+    monkeypatch.setattr(tx, "MOST_ENTRIES", 1)
+    rng = random.Random(8)
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=40))) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    with Scratch(spark) as scratch:
+        assert tx.learn(docs, labels, scratch)[0] == {}
+
+
 def test_without_labels_and_documents(spark):
     docs = spark.createDataFrame([(1, "you idiot, you moron"), (2, "fine words")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
