@@ -68,6 +68,16 @@ class Scratch:
         self.paths = []
 
 
+#: Rows of a table of 64-bit keys that may be broadcast: 16 MB.
+BROADCAST_KEYS = 1 << 20
+
+
+def only(df: DataFrame, keys: DataFrame, *on: str, how: str = "left_semi") -> DataFrame:
+    """df's rows whose key is (left_semi) or isn't (left_anti) in keys, a written table: keys are broadcast if they are few, else both sides are shuffled."""
+    keys = keys.distinct()
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, list(on), how)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,47 +1,58 @@
 """N-gram Jaccard self-join and its classes.
 
-A document's set is its distinct word shingles, as 64-bit hashes. Equal sets
-are one node. All shingles stand in one order, by the count of their rarest
-word, which a sketch of fixed size takes over all documents. Of n shingles the first
-n - ceil(t n) + 1 name the tiles that the set is in: two sets with similarity t
-or more share a tile (prefix filter). Tiles are cut into size bands, as sets
-linked lie in the same or in neighbouring bands, and large ones into blocks.
-
-Inside a tile, hashed bitmaps of the sets bound the overlap from above: the
-overlap is at most (|A| + |B| - differing bits) / 2. What passes is decided by
-intersecting the sorted arrays. First each node is compared with one pivot of
-its tiles; linked nodes become components. Then only tiles that still hold
-several components are searched for pairs across components. Of those that the
-bitmaps allow, a tile puts forward the likeliest few for each edge of a spanning
-forest of its components; they are decided, and the search goes on without the
-pairs found unlinked. After FORESTS rounds one last step decides every pair that
-the bitmaps still allow between components, in tiles to which a set's array goes
-once. So large groups of near copies cost about their size, and no link between
-different components is lost; many sets all alike and all just below the
-threshold cost the square of their number in pairs of ids.
+A document's set is its distinct word shingles, as 64-bit ids that begin with a
+class: that of the shingle's rarest word, by counts which a sketch of fixed size
+takes over all documents. So sorted ids stand in one common order, rare ones
+first. Equal sets are one node. Of n shingles the first n - ceil(t n) + 1 name
+the tiles that the set is in: two sets with similarity t or more share a tile
+(prefix filter).
+
+Inside a tile a set is compared only with those whose sizes allow a link, and
+hashed bitmaps of the sets bound the overlap from above: the overlap is at most
+(|A| + |B| - differing bits) / 2. What passes in a tile by short bitmaps is
+deduplicated, passes long ones, and is decided by intersecting the sorted
+arrays. Tiles beyond BLOCK rows are cut by size band and hash: each row has one
+block at home, and only rows outside the component that is the tile's main one
+visit the other blocks of their own and the neighbouring bands, streaming by.
+
+First each node is compared with one pivot of its tiles; linked nodes become
+components. Then tiles are searched for pairs across components. A tile puts
+forward all that the bitmaps allow while these are few for its rows, else the
+likeliest few for each edge of a spanning forest of its components; such tiles
+are searched again, and after FORESTS rounds one last step decides every pair
+still allowed; a round without new pairs makes the next one the last. So large groups of near copies cost about their size, and no link
+between different components is lost; many sets all alike and all just below
+the threshold cost the square of their number in comparisons of bitmaps.
 
 Defined cases. Null or empty text, or text without words, has an empty set and
 is its own class. Fewer words than a shingle's: the whole sequence is the one
 shingle. A null doc_id takes no part and has class null. Repeated rows get
-equal results. Whole texts are read; other columns aren't.
+equal results; ties between pivots go to the smaller node. An empty table gives
+an empty result. Whole texts are read; other columns aren't, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, content_key
+from .common import Scratch, content_key, only
 
-BLOCK = 1024
+BLOCK = 8192
 BITS_PER_DIFFERENCE = 12
-FORESTS = 6
+SHORT_BITS = 512
+FORESTS = 4
+SMALL_TILE, PAIRS_AT_ONCE = 32, 1 << 16
 TILE_SHINGLES = 1 << 21
-BLOOM_WORDS = 1 << 20
 SKETCH_BITS, CHUNK = 20, 4096
+HASH_BITS = 57
+BYTES_AT_ONCE = 1 << 19
 U64 = np.uint64
 
 
@@ -54,39 +65,92 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Words:
+    """Word hashes of whole texts, over the bytes of many texts at once: A-Z lowered, words parted by ASCII white space."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self):
+        letters = np.arange(256, dtype=np.uint8)
+        letters[65:91] += 32
+        self.value = mixed(letters.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x1234567))
+        self.space = np.zeros(256, bool)
+        self.space[[32, *range(9, 14)]] = True
+        self.powers = self.inverses = np.ones(1, U64)
+
+    def _grow(self, n: int) -> None:
+        if len(self.powers) < n:
+            n = max(n, BYTES_AT_ONCE)
+            back = U64(pow(self.BASE, -1, 1 << 64))
+            self.powers, self.inverses = (np.cumprod(np.r_[U64(1), np.full(n - 1, b, U64)]) for b in (U64(self.BASE), back))
+
+    def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """hash of each word, and where each text's words begin (and the last one's end). data: UTF-8; bounds: the texts' bounds in it."""
+        space = self.space[data]
+        first, last = ~space, ~space
+        first[1:] &= space[:-1]
+        last[:-1] &= space[1:]
+        inner = bounds[(bounds > 0) & (bounds < len(data))]
+        first[inner] = ~space[inner]
+        last[inner - 1] = ~space[inner - 1]
+        s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        out = np.empty(len(s), U64)
+        at = 0
+        while at < len(s):  # a polynomial in the bytes, from running sums over stretches of words
+            to = max(at + 1, int(np.searchsorted(e, s[at] + BYTES_AT_ONCE, side="right")))
+            lo, hi = int(s[at]), int(e[to - 1])
+            self._grow(hi - lo + 1)
+            run = np.zeros(hi - lo + 1, U64)
+            np.cumsum(self.value[data[lo:hi]] * self.powers[: hi - lo], out=run[1:])
+            b, f = s[at:to] - lo, e[at:to] - lo
+            out[at:to] = mixed((run[f] - run[b]) * self.inverses[b] + (f - b).astype(U64))
+            at = to
+        return out, np.searchsorted(s, bounds)
+
+
+def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of a string column, runs of texts as (first row, bytes, bounds); null is empty. A run ends at BYTES_AT_ONCE, texts are whole."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BYTES_AT_ONCE, side="right")) - 1)
+        yield at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of texts; word hashes are remembered up to a bound."""
-
-    def __init__(self, words: int, bound: int = 400_000):
-        self.words, self.bound, self.known = words, bound, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], dtype=U64)
-        except KeyError:
-            if len(known) > self.bound:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.array([known[w] for w in words], dtype=U64)
-
-    def shingles(self, text: bytes, common: np.ndarray | None = None):
-        """The set; with common, also the class of each shingle's rarest word."""
-        words = text.lower().split()  # of bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, U64), np.empty(0, np.uint8)
-        h = self.hashes(words)
-        n, wide = max(1, len(h) - self.words + 1), min(self.words, len(h))
-        out, own = np.full(n, wide, U64), None if common is None else common[slot(h)]
-        kind = np.full(n, 255, np.uint8)
+    """Sorted distinct shingle ids of texts. common: the class of each slot of the word sketch."""
+
+    def __init__(self, words: int, common: np.ndarray):
+        self.words, self.common, self.reader = words, common.astype(U64), Words()
+
+    def _ids(self, h: np.ndarray, wide: int) -> np.ndarray:
+        n = len(h) - wide + 1
+        out, kind = np.full(n, wide, U64), np.full(n, 127, U64)
+        own = self.common[slot(h)]
         for i in range(wide):
             out = mixed(out * U64(0x9E3779B97F4A7C15) + h[i : i + n])
-            if own is not None:
-                kind = np.minimum(kind, own[i : i + n])
-        out, at = np.unique(out, return_index=True)
-        return out, kind[at]
+            kind = np.minimum(kind, own[i : i + n])
+        return (kind << U64(HASH_BITS)) | (out >> U64(64 - HASH_BITS))
+
+    def sets(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        for row, data, bounds in texts_of(column):
+            h, at = self.reader.of(data, bounds)
+            ids = self._ids(h, self.words) if len(h) >= self.words else h
+            for i, (s, e) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), row):
+                if e - s >= self.words:
+                    own = np.sort(ids[s : e - self.words + 1])
+                    new = own[1:] != own[:-1]
+                    yield i, own if new.all() else own[np.r_[True, new]]
+                else:
+                    yield i, self._ids(h[s:e], e - s) if e > s else h[:0]
 
 
 class Bands:
@@ -111,32 +175,37 @@ class Bands:
     def width(self, band: int) -> int:
         """Bits of this band's bitmaps: a power of two, some times as many as linked sets may differ in."""
         most = (self.start(band + 1) - 1) * (self.den - self.num) // self.num + 1
-        return max(64, 1 << (BITS_PER_DIFFERENCE * most - 1).bit_length())
+        return max(SHORT_BITS, 1 << (BITS_PER_DIFFERENCE * most - 1).bit_length())
 
 
 def bitmap(h: np.ndarray, width: int) -> np.ndarray:
-    """The parity of the set's hashes by slot: every element in which two sets differ changes one bit at most."""
+    """The parity of the set's ids by slot: every element in which two sets differ changes one bit at most."""
     slots = (mixed(h ^ U64(0xA5A5)) & U64(width - 1)).astype(np.int64)
     return np.packbits((np.bincount(slots, minlength=width) & 1).astype(bool), bitorder="little")
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """A longer bitmap cut down to SHORT_BITS: what bitmap() gives for that width."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, SHORT_BITS // 8), axis=0)
+
+
 def slot(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def rarest(h: np.ndarray, kind: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The set's first shingles in the common order (class, then hash), as many as the prefix filter needs; h is sorted."""
-    n = len(h)
-    return h[kind.argsort(kind="stable")[: n - -(-num * n // den) + 1]]
+def rarest(ids: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The set's first ids in the common order, as many as the prefix filter needs."""
+    n = len(ids)
+    return ids[: n - -(-num * n // den) + 1]
 
 
 def _counts(batches):
     """The word sketch's counters over a partition, in chunks."""
-    shingler, total = Shingler(1), np.zeros(1 << SKETCH_BITS, np.int64)
+    reader, total = Words(), np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
-        own = [shingler.hashes(t.lower().split()) for t in as_bytes(batch.column("text"))]
-        if own:
-            total += np.bincount(slot(np.concatenate(own)), minlength=len(total))
+        for _, data, bounds in texts_of(batch.column("text")):
+            at, n = np.unique(slot(reader.of(data, bounds)[0]), return_counts=True)
+            total[at] += n
     for i, part in enumerate(total.reshape(-1, CHUNK)):
         if part.any():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype("<i8").tobytes()], pa.binary())], names=["chunk", "counts"])
@@ -166,35 +235,41 @@ def commonness_of(docs: DataFrame) -> np.ndarray:
     return (2 * np.log2(1.0 + total.reshape(-1))).astype(np.uint8)
 
 
-SETS = "doc_id long, __k1 long, node long, n long, band int, keys array<long>, bits binary"
+SETS = "doc_id long, __k1 long, node long, n long, band int, keys array<long>, short binary, bits binary"
+
+
+def node_of(ids: np.ndarray) -> int:
+    x = xxhash.xxh3_64_intdigest(ids.tobytes())
+    return x if x < 1 << 63 else x - (1 << 64)
 
 
 def _sets(words: int, num: int, den: int, common):
-    """One row a document; keys and bits only at a set's first row in a partition."""
+    """One row a document; keys and bitmaps only at a set's first row in a partition. bits is null where the short one is all."""
 
     def run(batches):
-        shingler, bands, seen = Shingler(words), Bands(num, den), set()
+        shingler, bands, seen = Shingler(words, common.value), Bands(num, den), set()
         for batch in batches:
-            nodes, sizes, band, keys, bits = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                h, kind = shingler.shingles(text, common.value)
-                node = xxhash.xxh3_64_intdigest(h.tobytes()) if len(h) and doc_id is not None else None
-                nodes.append(node if node is None or node < 1 << 63 else node - (1 << 64))
-                sizes.append(len(h))
-                band.append(bands.of(len(h)) if len(h) else -1)
+            nodes, sizes, band, keys, short, bits = [], [], [], [], [], []
+            for doc_id, (_, ids) in zip(batch.column("doc_id").to_pylist(), shingler.sets(batch.column("text")), strict=True):
+                node = node_of(ids) if len(ids) and doc_id is not None else None
+                nodes.append(node)
+                sizes.append(len(ids))
+                band.append(bands.of(len(ids)) if len(ids) else -1)
                 if node is None or node in seen:
-                    keys.append(None)
-                    bits.append(None)
+                    for c in (keys, short, bits):
+                        c.append(None)
                     continue
                 seen.add(node)
-                keys.append(rarest(h, kind, num, den).view(np.int64))
-                bits.append(bitmap(h, bands.width(bands.of(len(h)))).tobytes())
+                keys.append(rarest(ids, num, den).view(np.int64))
+                own = bitmap(ids, bands.width(band[-1]))
+                short.append(folded(own).tobytes())
+                bits.append(own.tobytes() if 8 * len(own) > SHORT_BITS else None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("__k1"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(band, pa.int32()),
-                    pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
+                    pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary()), pa.array(bits, pa.binary()),
                 ],
-                names=["doc_id", "__k1", "node", "n", "band", "keys", "bits"],
+                names=["doc_id", "__k1", "node", "n", "band", "keys", "short", "bits"],
             )
 
     return run
@@ -227,49 +302,39 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (out_k, out_v, out_p)], names=["key", "node", "pivot"])
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Which of 2**26 slots the 64-bit ids fall into: of fixed size, whatever their number."""
-    word = F.col("__k1").bitwiseAND(BLOOM_WORDS - 1)
-    bit = F.expr("shiftleft(1L, cast(shiftright(__k1, 20) & 63 as int))")
-    words = np.zeros(BLOOM_WORDS, np.int64)
-    got = ids.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("m")).toArrow()
-    words[got.column("w").to_numpy()] = got.column("m").to_numpy()
-    return words
-
-
-def arrays(docs: DataFrame, candidates: DataFrame, words: int, scratch: Scratch, name: str) -> DataFrame:
-    """node, h: the shingle arrays of the candidates' nodes, from their texts again. candidates: __k1."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_bloom(candidates))
+def arrays(docs: DataFrame, nodes: DataFrame, words: int, common, scratch: Scratch, name: str) -> DataFrame:
+    """node, h: the arrays of the nodes, from their texts again. nodes: __k1, the key of a text of each."""
 
     def run(batches):
-        slots, shingler, seen = bloom.value, Shingler(words), set()
+        shingler, seen = Shingler(words, common.value), set()
         for batch in batches:
-            k1 = batch.column("__k1").to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((slots[k1 & (BLOOM_WORDS - 1)] >> ((k1 >> 20) & 63)) & 1)
-            rows, nodes = [], []
-            texts = batch.column("text").take(pa.array(hit, pa.int64()))
-            for k, text in zip(k1[hit], as_bytes(texts), strict=True):
-                if k in seen:
-                    continue
-                seen.add(k)
-                h, _ = shingler.shingles(text)
-                nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
-                rows.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, U64).view(np.int64)), pa.array(rows, pa.binary())], names=["node", "h"])
-
-    text = docs.select("__k1", "text").where("text is not null").mapInArrow(run, "node long, h binary")
+            rows, own = [], []
+            for k, (_, ids) in zip(batch.column("__k1").to_pylist(), shingler.sets(batch.column("text")), strict=True):
+                if k not in seen:
+                    seen.add(k)
+                    own.append(node_of(ids))
+                    rows.append(ids.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.binary())], names=["node", "h"])
+
+    text = only(docs.select("__k1", "text").where("text is not null"), nodes.select("__k1"), "__k1").mapInArrow(run, "node long, h binary")
     return scratch.table(text.dropDuplicates(["node"]), name)
 
 
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of sorted arrays."""
+    both = np.concatenate((x, y))
+    both.sort()
+    return int((both[1:] == both[:-1]).sum())
+
+
 def _verify(num: int, den: int):
     def run(batches):
         bands = Bands(num, den)
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bands.linked(len(x), len(y), both))
+            for a, b in zip(batch.column("ha"), batch.column("hb"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), U64), np.frombuffer(b.as_buffer(), U64)
+                keep.append(bands.linked(len(x), len(y), overlap(x, y)))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
@@ -284,8 +349,9 @@ def _allowed(num: int, den: int):
             keep = []
             for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "xa", "xb")), strict=True):
                 x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-                differ = int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
-                most = (n + m - differ) // 2
+                if len(y) > len(x):  # the wider bitmap, folded
+                    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+                most = (n + m - int(np.bitwise_count(y ^ x).sum())) // 2
                 keep.append(den * most >= num * (n + m - most))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
@@ -294,15 +360,18 @@ def _allowed(num: int, den: int):
 
 
 def allowed(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    one = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa")), "a")
-    both = one.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb")), "b")
+    """Of distinct pairs a, b those that the long bitmaps let be linked."""
+    bits = F.coalesce("bits", "short")
+    one = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), bits.alias("xa")), "a")
+    both = one.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), bits.alias("xb")), "b")
     return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_allowed(num, den), "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, common, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
     """The pairs a, b that are linked, by intersecting sorted arrays, which only these pairs' nodes get."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(info.select("node", "__k1"), "node")
-    arr = arrays(docs, nodes.select("__k1"), words, scratch, f"{name}-arrays")
+    nodes = scratch.table(nodes.select("__k1"), f"{name}-nodes")
+    arr = arrays(docs, nodes, words, common, scratch, f"{name}-arrays")
     one = pairs.join(arr.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
     both = one.join(arr.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
     links = scratch.table(both.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long"), f"{name}-links")
@@ -359,89 +428,160 @@ def _forest(a: np.ndarray, b: np.ndarray, slack: np.ndarray, most: int) -> np.nd
     return np.concatenate(kept)
 
 
+class Tiles:
+    """Pairs across components that bitmaps allow, from rows of tiles. cols: key, gband, block, visit, main, n, node, comp, bits."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+
+    def passing(self, n, bits, comp, i: np.ndarray, j: np.ndarray):
+        """Of rows i and j the pairs allowed, with how far they are above the bound."""
+        a, b = n[i], n[j]
+        ok = (comp[i] != comp[j]) & (self.den * np.minimum(a, b) >= self.num * np.maximum(a, b))
+        i, j, total = i[ok], j[ok], (a + b)[ok]
+        most = (total - np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)) // 2
+        slack = self.den * most - self.num * (total - most)
+        ok = slack >= 0
+        return i[ok], j[ok], slack[ok] / total[ok]
+
+    def small(self, starts: np.ndarray, length: int, n, bits, comp):
+        """All pairs of tiles of one length, some tiles at a time."""
+        x, y = np.triu_indices(length, 1)
+        step = max(1, PAIRS_AT_ONCE // len(x))
+        for at in range(0, len(starts), step):
+            s = starts[at : at + step, None]
+            yield self.passing(n, bits, comp, (s + x).ravel(), (s + y).ravel())
+
+    def large(self, s: int, e: int, n, bits, comp):
+        """Pairs among the rows s to e: each row outside the tile's main component with the run of rows of fitting size."""
+        order = s + n[s:e].argsort(kind="stable")
+        size, own = n[order], comp[order]
+        names, count = np.unique(own, return_counts=True)
+        main = own == names[count.argmax()]
+        lo = np.searchsorted(size, -(-self.num * size // self.den))
+        hi = np.searchsorted(size, self.den * size // self.num, side="right")
+        for i in np.flatnonzero(~main):
+            run = np.arange(lo[i], hi[i])
+            run = order[run[main[run] | (run > i)]]
+            for at in range(0, len(run), PAIRS_AT_ONCE):
+                j = run[at : at + PAIRS_AT_ONCE]
+                yield self.passing(n, bits, comp, np.full(len(j), order[i]), j)
+
+    def visits(self, home: slice, visitors: slice, main, n, node, bits, comp):
+        """Each visitor with the rows at home, which hold other components' rows; of two that visit each other's, the smaller node does it."""
+        at_home = np.arange(home.start, home.stop)
+        for i in range(visitors.start, visitors.stop):
+            j = at_home[(comp[home] == main[i]) | (node[home] > node[i])]
+            yield self.passing(n, bits, comp, np.full(len(j), i), j)
+
+
 def _tile_pairs(num: int, den: int, most_pairs: int | None):
-    """Pairs of nodes in different components to be decided next, all where most_pairs is None, from rows sorted by tile."""
-
-    def pairs(n, node, comp, block, bits, no, two_blocks):
-        own: dict[int, list[int]] = {}
-        for i, raw in enumerate(bits):
-            own.setdefault(len(raw), []).append(i)
-        maps = {w: (np.array(at), np.frombuffer(b"".join(bits[i] for i in at), np.uint8).reshape(len(at), w)) for w, at in own.items()}
-        for x in maps:
-            for y in maps:
-                if y < x:
-                    continue
-                (ai, am), (aj, bm) = maps[x], maps[y]
-                if y > x:  # the wider bitmap, folded
-                    bm = np.bitwise_xor.reduce(bm.reshape(len(aj), -1, x), axis=1)
-                am, bm = np.ascontiguousarray(am).view(U64), np.ascontiguousarray(bm).view(U64)
-                for r, i in enumerate(ai):
-                    ok = (comp[aj] != comp[i]) & (den * np.minimum(n[aj], n[i]) >= num * np.maximum(n[aj], n[i]))
-                    if two_blocks:
-                        ok &= block[aj] != block[i]
-                    if x == y:
-                        ok[: r + 1] = False
-                    c = np.flatnonzero(ok)
-                    if len(c) and no[i]:
-                        c = c[~np.isin(node[aj[c]], no[i])]
-                    if not len(c):
-                        continue
-                    total = n[aj[c]] + n[i]
-                    most = (total - np.bitwise_count(bm[c] ^ am[r]).sum(axis=1, dtype=np.int64)) // 2
-                    slack = den * most - num * (total - most)
-                    c, slack = c[slack >= 0], slack[slack >= 0]
-                    if len(c):
-                        yield np.full(len(c), i), aj[c], slack / (n[i] + 1)
-
-    def tile(cols, bits, no):
-        _, _, bi, bj, n, node, comp, block = cols
-        found = list(pairs(n, node, comp, block, bits, no, bi[0] != bj[0])) if (comp != comp[0]).any() else []
-        if found:
-            i, j, slack = (np.concatenate(z) for z in zip(*found, strict=True))
-            at = slice(None) if most_pairs is None else _forest(comp[i], comp[j], slack, most_pairs)
-            a, b = node[i[at]], node[j[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    """a, b: pairs of nodes in different components to be decided next, all where most_pairs is None; key: of tiles that held back some.
+
+    Rows come sorted by key, gband, block and visit, so a block's rows at home stand before its visitors.
+    """
+    names = ("key", "gband", "block", "visit", "main", "n", "node", "comp")
 
     def run(batches):
-        names = ("key", "band", "bi", "bj", "n", "node", "comp", "block")
-        held: list | None = None
+        tiles, held, paired = Tiles(num, den), None, False  # paired: the rows held, all at home, have been compared with each other
+
+        def kept(rows, found, node, comp):
+            """Pairs of one tile or several small ones; many of a large one are cut down to a forest."""
+            found = [f for f in found if len(f[0])]
+            if not found:
+                return None
+            i, j, slack = (np.concatenate(z) for z in zip(*found, strict=True))
+            cut = most_pairs is not None and rows and len(i) > 4 * rows
+            if cut:
+                at = _forest(comp[i], comp[j], slack, most_pairs)
+                cut = len(at) < len(i)
+                i, j = i[at], j[at]
+            return np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), bool(cut)
+
+        def search(cols, bits, paired):
+            key, gband, block, visit, main, n, node, comp = cols
+            bits = np.frombuffer(b"".join(bits), U64).reshape(len(key), -1)
+            starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
+            ends = np.r_[starts[1:], len(key)]
+            small = (ends - starts <= SMALL_TILE) & (visit[ends - 1] == 0)
+            if paired:
+                small[0] = False
+            out, more = [], []
+            for length in np.unique((ends - starts)[small]):
+                if length > 1:
+                    out += [kept(0, [f], node, comp) for f in tiles.small(starts[small & (ends - starts == length)], int(length), n, bits, comp)]
+            for t in np.flatnonzero(~small):
+                s, e = int(starts[t]), int(ends[t])
+                h = s + int(np.searchsorted(visit[s:e], 1))  # rows at home end here
+                if h == s:
+                    continue
+                found = [] if paired and t == 0 else list(tiles.large(s, h, n, bits, comp))
+                found += tiles.visits(slice(s, h), slice(h, e), main, n, node, bits, comp)
+                got = kept(e - s, found, node, comp)
+                if got:
+                    out.append(got)
+                    more += [int(key[s])] if got[2] else []
+            out = [o for o in out if o]
+            a, b = (np.concatenate(z) for z in list(zip(*out, strict=True))[:2]) if out else (np.empty(0, np.int64),) * 2
+            if len(a):
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                a, b = a[new], b[new]
+            none = pa.nulls(len(more), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(a), none]), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(more, pa.int64())])], names=["a", "b", "key"]
+            )
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
-            bits, no = batch.column("bits").to_pylist(), batch.column("no").to_pylist()
+            bits = batch.column("short").to_pylist()
             if held is not None:
-                cols, bits, no = [np.concatenate(z) for z in zip(held[0], cols, strict=True)], held[1] + bits, held[2] + no
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
-            at = [0, *new.tolist()]
-            for s, e in zip(at[:-1], at[1:], strict=True):
-                yield from tile([c[s:e] for c in cols], bits[s:e], no[s:e])
-            held = [[c[at[-1] :] for c in cols], bits[at[-1] :], no[at[-1] :]]
-        if held is not None:
-            yield from tile(*held)
+                cols, bits = [np.concatenate(z) for z in zip(held[0], cols, strict=True)], held[1] + bits
+            last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0))
+            s = int(last[-1]) + 1 if len(last) else 0
+            if cols[3][-1]:  # visitors don't wait: only the rows at home are held
+                yield search(cols, bits, paired)
+                e, paired = s + int(np.searchsorted(cols[3][s:], 1)), True
+            else:
+                e = len(bits)
+                if s:
+                    yield search([c[:s] for c in cols], bits[:s], paired)
+                    paired = False
+            held = ([c[s:e] for c in cols], bits[s:e]) if e > s else None
+            paired = paired and held is not None
+        if held is not None and not paired:
+            yield search(*held, False)
 
     return run
 
 
-def across(members: DataFrame, comp: DataFrame, info: DataFrame, unlinked: DataFrame | None, scratch: Scratch, name: str, num: int, den: int, most_pairs: int | None) -> DataFrame:
-    """Pairs a, b across components to be decided next, from the size-banded tiles that hold several components."""
-    known = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(info.select("node", "n", "band"), "node")
-    # A set is in its own band's tile and in the next lower one, where smaller sets may be linked with it.
-    banded = scratch.table(known.withColumn("band", F.explode(F.array("band", F.col("band") - 1))), f"{name}-banded")
-    tile = ["key", "band"]
-    per = banded.groupBy(*tile).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select(*tile, "held")
-    no = F.lit(None).cast("array<long>").alias("no")
-    more = info.select("node", "bits", no)
-    if unlinked is not None:
-        both = unlinked.select(F.col("a").alias("node"), "b").union(unlinked.select(F.col("b").alias("node"), "a"))
-        more = info.select("node", "bits").join(both.groupBy("node").agg(F.collect_set("b").alias("no")), "node", "left")
-    rows = banded.join(per, tile).join(more, "node")
-    rows = rows.withColumn("blocks", F.floor((F.col("held") - 1) / BLOCK).cast("int") + 1).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*tile, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "n", "node", "comp", "block", "bits", "no")
-    by = [*tile, "bi", "bj"]
-    pairs = rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(_tile_pairs(num, den, most_pairs), "a long, b long")
-    return scratch.table(pairs.distinct(), f"{name}-across")
+def across(members: DataFrame, comp: DataFrame, info: DataFrame, scratch: Scratch, name: str, num: int, den: int, most_pairs: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b across components to be decided next, and the key of each tile that held back some."""
+    own = info.join(comp, "node", "left").select("node", "n", "band", "short", F.coalesce("comp", "node").alias("comp"))
+    rows = members.select("key", "node").join(own, "node")
+    per = members.groupBy("key").agg(F.count("*").alias("held"), F.min("pivot").alias("node")).where(F.col("held") > BLOCK)
+    per = per.join(comp, "node", "left").select("key", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.coalesce("comp", "node").alias("main"))
+    per = scratch.table(per, f"{name}-cut")
+    plain = [F.lit(0).alias(c) for c in ("gband", "block", "visit", "main")]
+    names = ["key", "gband", "block", "visit", "main", "n", "node", "comp", "short"]
+    if per.head(1):
+        cut = rows.join(per, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        there = F.explode(F.expr("transform(sequence(0L, 3 * blocks - 1), x -> named_struct('gband', band - 1 + cast(x div blocks as int), 'block', x % blocks))"))
+        visits = cut.where("comp <> main").withColumn("to", there).where("to.gband <> band or to.block <> home")
+        visits = visits.select("key", "to.gband", "to.block", F.lit(1).alias("visit"), *names[4:])
+        cut = cut.select("key", F.col("band").alias("gband"), F.col("home").alias("block"), F.lit(0).alias("visit"), *names[4:])
+        rows = rows.join(per, "key", "left_anti").select("*", *plain).select(*names).union(cut).union(visits)
+    else:
+        rows = rows.select("*", *plain).select(*names)
+    by = names[:3]
+    found = rows.repartition(*by).sortWithinPartitions(*names[:4]).mapInArrow(_tile_pairs(num, den, most_pairs), "a long, b long, key long")
+    found = scratch.table(found, f"{name}-found")
+    short = found.where("a is not null").select("a", "b").distinct()
+    pairs = scratch.table(allowed(short, info, num, den), f"{name}-pairs")
+    return pairs, found.where("key is not null").select("key").distinct()
 
 
 def _decide(num: int, den: int):
@@ -457,16 +597,15 @@ def _decide(num: int, den: int):
                 if a is None:
                     sets[b] = np.frombuffer(h, U64)
                     continue
-                x, y = sorted((sets[a], sets[b]), key=len)
-                both = int((y[np.minimum(y.searchsorted(x), len(y) - 1)] == x).sum())
-                if bands.linked(len(x), len(y), both):
+                x, y = sets[a], sets[b]
+                if bands.linked(len(x), len(y), overlap(x, y)):
                     linked.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
+def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, common, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
     """The pairs a, b that are linked, as verified finds them, but of many pairs: an array goes once to each tile that holds pairs of it."""
     group = scratch.table(components(pairs, scratch, name), f"{name}-groups")
     sized = group.join(info.select("node", "n", "__k1"), "node")
@@ -477,7 +616,7 @@ def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, scra
     both = one.join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
     tile = ["comp", "bi", "bj"]
     dealt = scratch.table(both.select("comp", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "a", "b"), f"{name}-dealt")
-    arr = arrays(docs, placed.select("__k1"), words, scratch, f"{name}-arrays")
+    arr = arrays(docs, placed, words, common, scratch, f"{name}-arrays")
     held = dealt.select(*tile, F.col("a").alias("node")).union(dealt.select(*tile, "b")).distinct().join(arr, "node")
     held = held.select(*tile, F.lit(None).cast("long").alias("a"), F.col("node").alias("b"), "h")
     rows = held.union(dealt.select(*tile, "a", "b", F.lit(None).cast("binary").alias("h")))
@@ -487,47 +626,55 @@ def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, scra
     return links
 
 
-def joined_across(members: DataFrame, comp: DataFrame, info: DataFrame, docs: DataFrame, words: int, scratch: Scratch, num: int, den: int) -> DataFrame:
+def joined_across(members: DataFrame, comp: DataFrame, info: DataFrame, docs: DataFrame, words: int, common, scratch: Scratch, num: int, den: int) -> DataFrame:
     """node, comp: the components when every pair across them that the bitmaps allow has been decided."""
-    unlinked = None
+    settled, last = None, FORESTS == 0
     for i in range(FORESTS + 1):
-        last = i == FORESTS
-        pairs = across(members, comp, info, unlinked, scratch, f"round{i}", num, den, None if last else 4**i)
-        if not pairs.head(1):
+        pairs, more = across(members, comp, info, scratch, f"round{i}", num, den, None if last else 4 ** (i + 1))
+        if settled is not None:
+            pairs = scratch.table(pairs.join(settled, ["a", "b"], "left_anti"), f"round{i}-new")
+        found = bool(pairs.head(1))
+        if found:
+            links = (decided if last else verified)(pairs, docs, info, words, common, scratch, f"round{i}", num, den)
+            settled = pairs if settled is None else settled.union(pairs)
+            if links.head(1):
+                comp = scratch.table(components(links.union(comp.select("node", "comp")), scratch, f"round{i}-joined"), f"round{i}-comp")
+        if last or not more.head(1):
             break
-        links = (decided if last else verified)(pairs, docs, info, words, scratch, f"round{i}", num, den)
-        if not last:
-            failed = pairs.join(links, ["a", "b"], "left_anti")
-            unlinked = scratch.table(failed if unlinked is None else unlinked.union(failed), f"round{i}-unlinked")
-        if links.head(1):
-            comp = scratch.table(components(links.union(comp.select("node", "comp")), scratch, f"round{i}-joined"), f"round{i}-comp")
+        last = i + 1 == FORESTS or not found
+        members = scratch.table(members.join(more, "key", "left_semi"), f"round{i}-members")
     return comp
 
 
+def resolved(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """sets: a row for each of docs (doc_id, __k1, text), with its node; comp: node, comp for nodes linked with others."""
+    common = docs.sparkSession.sparkContext.broadcast(commonness_of(docs))
+    sets = scratch.table(docs.mapInArrow(_sets(words, num, den, common), SETS), "sets")
+    owned = sets.where("keys is not null")
+    keys = owned.select(F.explode("keys").alias("key"), "node")
+    # Equal sets come once a partition; what is left of them stands side by side here.
+    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, pivot long")
+    members = scratch.table(shared, "members")
+    # Of a node's pivots the one that it shares most tiles with.
+    counted = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    pivots = counted.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b"))
+    nodes = members.select("node").distinct()
+    first = F.min(F.struct("__k1", "n", "band", "short", "bits")).alias("of")
+    info = scratch.table(owned.select("node", "__k1", "n", "band", "short", "bits").join(nodes, "node", "left_semi").groupBy("node").agg(first).select("node", "of.*"), "info")
+    pivots = scratch.table(allowed(pivots, info, num, den), "pivots-allowed")
+    links = verified(pivots, docs, info, words, common, scratch, "pivots", num, den)
+    comp = scratch.table(components(links, scratch, "first"), "comp1")
+    comp = joined_across(members, comp, info, docs, words, common, scratch, num, den)
+    common.destroy()
+    return sets, comp
+
+
 def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row: the smallest doc_id that links of similarity num / den or more reach."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with Scratch(docs.sparkSession) as scratch:
-        keyed = docs.select("doc_id", "text", content_key("text")[0])
-        common = docs.sparkSession.sparkContext.broadcast(commonness_of(docs))
-        sets = scratch.table(keyed.mapInArrow(_sets(words, num, den, common), SETS), "sets")
-        owned = sets.where("doc_id is not null and node is not null")
-        keys = owned.where("keys is not null").select(F.explode("keys").alias("key"), "node")
-        # Equal sets come once a partition; what is left of them stands side by side here.
-        shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, pivot long")
-        members = scratch.table(shared, "members")
-        best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("__shared"), "pivot"))
-        pivots = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("__shared")).withColumn("r", best).where("r = 1")
-        pivots = scratch.table(pivots.select(F.col("pivot").alias("a"), F.col("node").alias("b")), "pivots")
-        members = members.select("key", "node")
-        nodes = members.select("node").distinct()
-        text_of = owned.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("__k1").alias("__k1"), F.first("n").alias("n"), F.first("band").alias("band"), F.max("bits").alias("bits"))
-        info = scratch.table(text_of, "info")
-        pivots = scratch.table(allowed(pivots, info, num, den), "pivots-allowed")
-        links = verified(pivots, keyed, info, words, scratch, "pivots", num, den)
-        comp = scratch.table(components(links, scratch, "first"), "comp1")
-        comp = joined_across(members, comp, info, keyed, words, scratch, num, den)
-        rep = owned.groupBy("node").agg(F.min("doc_id").alias("rep"))
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_key("text")[0], "text")
+        sets, comp = resolved(docs, words, num, den, scratch)
+        rep = sets.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
         rep = rep.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = rep.groupBy("comp").agg(F.min("rep").alias("least"))
         classes = scratch.table(rep.join(least, "comp").select("node", "least"), "classes")

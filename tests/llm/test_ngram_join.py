@@ -104,14 +104,59 @@ def test_bands_hold_all_that_can_be_linked():
 def test_linked_sets_share_a_tile():
     rng = np.random.default_rng(2)
     common = rng.integers(0, 3, 1 << 16).astype(np.uint8)
-    kind = lambda x: common[(x >> np.uint64(48)).astype(np.int64)]
+    ranked = lambda x: np.sort((common[(x >> np.uint64(48)).astype(np.int64)].astype(np.uint64) << np.uint64(57)) | (x >> np.uint64(7)))
     for _ in range(300):
         n = int(rng.integers(2, 80))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         b = np.unique(np.r_[a[rng.random(len(a)) > 0.06], rng.integers(0, 2**63, 2).astype(np.uint64)])
         both = len(np.intersect1d(a, b))
         if len(b) and 10 * both >= 9 * (len(a) + len(b) - both):
-            assert set(nj.rarest(a, kind(a), 9, 10).tolist()) & set(nj.rarest(b, kind(b), 9, 10).tolist())
+            assert set(nj.rarest(ranked(a), 9, 10).tolist()) & set(nj.rarest(ranked(b), 9, 10).tolist())
+
+
+def test_words_and_shingles_are_those_of_the_plain_reading():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["", None, "  ", "a", " A b", "b a", "x\x0by\tz\x1cq r", "É é É é É", "ab c", "a bc", *("".join(rng.choices("aB é\n\x0c", k=rng.randrange(80))) for _ in range(300))]
+    plain = [tuple(t.encode().lower().split()) if t else () for t in texts]
+    for limit in (1, 50, 1 << 19):
+        nj.BYTES_AT_ONCE, kept = limit, nj.BYTES_AT_ONCE
+        try:
+            got = [ids.tolist() for _, ids in nj.Shingler(2, np.zeros(1 << nj.SKETCH_BITS, np.uint8)).sets(pa.array(["skip", *texts]).slice(1))]
+        finally:
+            nj.BYTES_AT_ONCE = kept
+        name = {}
+        for w, ids in zip(plain, got, strict=True):
+            want = {w[k : k + 2] for k in range(max(1, len(w) - 1))} if w else set()
+            assert ids == sorted(set(ids)) and len(ids) == len(want)
+            name.setdefault(frozenset(want), ids)
+            assert name[frozenset(want)] == ids
+        assert len({tuple(v) for v in name.values()}) == len(name)
+
+
+def test_blocks_and_visitors_find_every_pair_once_put_together():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(20, 40)).astype(np.uint64)) for _ in range(120)]
+    comp, bands = rng.integers(0, 6, 120), nj.Bands(4, 5)
+    rows = []
+    for i, s in enumerate(sets):
+        b = bands.of(len(s))
+        at = [(b, i % 3, 0)] + [(b + d, k, 1) for d in (-1, 0, 1) for k in range(3) if comp[i] != 0 and (d or k != i % 3)]
+        rows += [(7, g, k, visit, 0, len(s), i, int(comp[i]), nj.bitmap(s, nj.SHORT_BITS).tobytes()) for g, k, visit in at]
+    import pyarrow as pa
+
+    rows.sort(key=lambda r: r[:4])
+    names = ["key", "gband", "block", "visit", "main", "n", "node", "comp", "short"]
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + step]]) for k in range(0, len(rows), step)]
+        got = {(r["a"], r["b"]) for out in nj._tile_pairs(4, 5, None)(batches) for r in out.to_pylist()}
+        for a in range(120):
+            for b in range(a + 1, 120):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if comp[a] != comp[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                    assert (a, b) in got
+                assert comp[a] != comp[b] or (a, b) not in got
 
 
 def test_components_of_a_long_chain(spark):
