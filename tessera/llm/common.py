@@ -68,14 +68,30 @@ class Scratch:
         self.paths = []
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as df's own columns make needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of a table of 64-bit keys that may be broadcast: 16 MB.
 BROADCAST_KEYS = 1 << 20
 
 
 def only(df: DataFrame, keys: DataFrame, *on: str, how: str = "left_semi") -> DataFrame:
-    """df's rows whose key is (left_semi) or isn't (left_anti) in keys, a written table: keys are broadcast if they are few, else both sides are shuffled."""
-    keys = keys.distinct()
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, list(on), how)
+    """df's rows whose key is (left_semi) or isn't (left_anti) in keys, of a written table: keys are broadcast if they are few, else both sides are shuffled."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.distinct(), list(on), how)
+
+
+def few(df: DataFrame, rows: int, each: int = 5_000) -> DataFrame:
+    """df in no more tasks than so many rows need, 8 at least; a df of fewer tasks stays as it is."""
+    return df.coalesce(max(8, -(-rows // each)))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, content_key, only
+from .common import Scratch, content_key, few, only, unused
 
 BLOCK = 8192
 BITS_PER_DIFFERENCE = 12
@@ -230,7 +230,8 @@ def commonness_of(docs: DataFrame) -> np.ndarray:
     kind = "chunk int, counts binary"
     parts = docs.select("text").mapInArrow(_counts, kind)
     total = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, CHUNK)
-    for row in parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_added, kind).toLocalIterator():
+    summed = few(parts.repartition("chunk"), total.shape[0]).sortWithinPartitions("chunk").mapInArrow(_added, kind)
+    for row in summed.collect():  # as many rows as chunks
         total[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
     return (2 * np.log2(1.0 + total.reshape(-1))).astype(np.uint8)
 
@@ -276,34 +277,34 @@ def _sets(words: int, num: int, den: int, common):
 
 
 def _shared(batches):
-    """Of rows sorted by key and node, those whose key has several nodes, with the key's first node as pivot."""
-    key = pivot = None
-    alone = False
+    """Of rows sorted by key and node, those whose key has several nodes, with the key's first node as pivot and their place in the tile."""
+    key = pivot = last = None
+    n, alone = 0, False  # nodes of the last key so far; whether its first row is held back
     for batch in batches:
         if not batch.num_rows:
             continue
         k, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-        first = np.r_[key is None or k[0] != key, k[1:] != k[:-1]]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
-        pivots = np.where(start >= 0, v[np.maximum(start, 0)], pivot if pivot is not None else 0)
-        member = v != pivots
-        has = np.zeros(len(k), bool)  # first rows of runs with other nodes
-        np.logical_or.at(has, start[member & (start >= 0)], True)
-        keep = member | has
-        out_k, out_v, out_p = k[keep], v[keep], pivots[keep]
-        if alone and member[start < 0].any():  # the run before goes on here: its first row was held back
-            out_k, out_v, out_p = np.r_[key, out_k], np.r_[pivot, out_v], np.r_[pivot, out_p]
-            alone = False
-        if first.any():
-            s = int(np.flatnonzero(first)[-1])
-            alone = not has[s]
-            key, pivot = k[s], v[s]
-        new = np.r_[True, (out_k[1:] != out_k[:-1]) | (out_v[1:] != out_v[:-1])] if len(out_k) else np.empty(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (out_k, out_v, out_p)], names=["key", "node", "pivot"])
+        new = np.r_[key is None or k[0] != key or v[0] != last, (k[1:] != k[:-1]) | (v[1:] != v[:-1])]
+        k, v = k[new], v[new]
+        if not len(k):
+            continue
+        if key is not None and k[0] == key and alone:
+            k, v, n = np.r_[key, k], np.r_[pivot, v], 0
+        goes_on = key is not None and n and k[0] == key
+        starts = np.flatnonzero(np.r_[not goes_on, k[1:] != k[:-1]])
+        run = np.searchsorted(starts, np.arange(len(k)), side="right") - 1
+        first = starts[np.maximum(run, 0)] if len(starts) else np.zeros(len(k), int)
+        pivots = np.where(run >= 0, v[first], pivot if goes_on else 0)
+        nth = np.where(run >= 0, np.arange(len(k)) - first, np.arange(len(k)) + n)
+        many = np.r_[starts[1:], len(k)] - starts > 1
+        keep = np.where(run >= 0, many[np.maximum(run, 0)], True) if len(starts) else np.ones(len(k), bool)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (k, v, pivots, nth)], names=["key", "node", "pivot", "nth"])
+        alone = bool(len(starts)) and not many[-1]
+        key, pivot, last, n = k[-1], pivots[-1], v[-1], int(nth[-1]) + 1
 
 
 def arrays(docs: DataFrame, nodes: DataFrame, words: int, common, scratch: Scratch, name: str) -> DataFrame:
-    """node, h: the arrays of the nodes, from their texts again. nodes: __k1, the key of a text of each."""
+    """node, h: the arrays of the nodes, from their texts again. nodes, of a written table: __k1, the key of a text of each."""
 
     def run(batches):
         shingler, seen = Shingler(words, common.value), set()
@@ -316,8 +317,8 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int, common, scratch: Scrat
                     rows.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.binary())], names=["node", "h"])
 
-    text = only(docs.select("__k1", "text").where("text is not null"), nodes.select("__k1"), "__k1").mapInArrow(run, "node long, h binary")
-    return scratch.table(text.dropDuplicates(["node"]), name)
+    text = only(docs.select("__k1", "text").where("text is not null"), nodes, "__k1").mapInArrow(run, "node long, h binary")
+    return scratch.table(few(text.dropDuplicates(["node"]), nodes.count(), 2000), name)
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -354,50 +355,77 @@ def _allowed(num: int, den: int):
                 most = (n + m - int(np.bitwise_count(y ^ x).sum())) // 2
                 keep.append(den * most >= num * (n + m - most))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+            names = ["a", "b", "ka", "kb"]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in names], names=names)
 
     return run
 
 
-def allowed(pairs: DataFrame, info: DataFrame, num: int, den: int) -> DataFrame:
-    """Of distinct pairs a, b those that the long bitmaps let be linked."""
-    bits = F.coalesce("bits", "short")
-    one = pairs.join(info.select(F.col("node").alias("a"), F.col("n").alias("na"), bits.alias("xa")), "a")
-    both = one.join(info.select(F.col("node").alias("b"), F.col("n").alias("nb"), bits.alias("xb")), "b")
-    return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_allowed(num, den), "a long, b long")
+def allowed(pairs: DataFrame, info: DataFrame, num: int, den: int, rows: int) -> DataFrame:
+    """Of distinct pairs a, b, at most so many rows, those that the long bitmaps let be linked, with the keys of a text of each."""
+    own = info.select("node", "n", "__k1", F.coalesce("bits", "short").alias("x"))
+    one = pairs.join(own.toDF("b", "nb", "kb", "xb"), "b")
+    both = one.join(own.toDF("a", "na", "ka", "xa"), "a")
+    return few(both, rows).select("a", "b", "ka", "kb", "na", "nb", "xa", "xb").mapInArrow(_allowed(num, den), "a long, b long, ka long, kb long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, common, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
-    """The pairs a, b that are linked, by intersecting sorted arrays, which only these pairs' nodes get."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(info.select("node", "__k1"), "node")
-    nodes = scratch.table(nodes.select("__k1"), f"{name}-nodes")
-    arr = arrays(docs, nodes, words, common, scratch, f"{name}-arrays")
-    one = pairs.join(arr.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a")
-    both = one.join(arr.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+def verified(pairs: DataFrame, docs: DataFrame, words: int, common, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
+    """The pairs a, b that are linked, by intersecting sorted arrays, which only these pairs' nodes get. pairs: a written table, with ka, kb."""
+    arr = arrays(docs, pairs.select(F.col("ka").alias("__k1")).union(pairs.select("kb")), words, common, scratch, f"{name}-arrays")
+    one = pairs.select("a", "b").join(arr.toDF("a", "ha"), "a")
+    both = few(one.join(arr.toDF("b", "hb"), "b"), pairs.count(), 2000)
     links = scratch.table(both.select("a", "b", "ha", "hb").mapInArrow(_verify(num, den), "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-arrays")
     return links
 
 
+def _star(large: bool):
+    """Of distinct edges sorted by u and v, one star operation: u's neighbours go to the smallest of them and u.
+
+    Large stars read edges both ways and move the larger neighbours; small stars read edges to smaller nodes and move u and all of them.
+    """
+
+    def run(batches):
+        u0 = m0 = v0 = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+            new = np.r_[u0 is None or u[0] != u0 or v[0] != v0, (u[1:] != u[:-1]) | (v[1:] != v[:-1])]
+            starts = np.flatnonzero(np.r_[u0 is None or u[0] != u0, u[1:] != u[:-1]])
+            run = np.searchsorted(starts, np.arange(len(u)), side="right") - 1
+            least = np.minimum(u, v)[starts] if len(starts) else u[:0]
+            m = np.where(run >= 0, least[np.maximum(run, 0)], m0 if m0 is not None else 0) if len(starts) else np.full(len(u), m0)
+            u0, m0, v0 = u[-1], m[-1], v[-1]
+            move = new & ((v > u) if large else (v != m))
+            out = [v[move]], [m[move]]
+            if not large:
+                out[0].append(u[starts])
+                out[1].append(m[starts])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["u", "v"])
+
+    return run
+
+
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp: for each node of the links a, b the smallest node it reaches (large and small stars in turn)."""
-    edges = scratch.table(links.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), f"{name}-edges")
-    last = None
-    for i in range(60):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = scratch.table(small.union(small_least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-round{i}")
+    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), f"{name}-edges")
+    last, rows = None, edges.count()
+
+    def starred(pairs: DataFrame, large: bool) -> DataFrame:
+        return few(pairs.repartition("u"), 2 * rows).sortWithinPartitions("u", "v").mapInArrow(_star(large), "u long, v long")
+
+    for i in range(200):
+        both = edges.union(edges.select("v", "u"))
+        edges = scratch.table(starred(starred(both, True), False), f"{name}-round{i}")
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if now == last:
             break
         last = now
     else:
         raise RuntimeError("components did not settle")
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots.select("node", F.col("node").alias("comp")))
+    roots = few(edges.select("v").distinct(), rows)
+    return edges.toDF("node", "comp").union(roots.select("v", F.col("v").alias("comp")))
 
 
 def _forest(a: np.ndarray, b: np.ndarray, slack: np.ndarray, most: int) -> np.ndarray:
@@ -562,12 +590,13 @@ def across(members: DataFrame, comp: DataFrame, info: DataFrame, scratch: Scratc
     """Pairs a, b across components to be decided next, and the key of each tile that held back some."""
     own = info.join(comp, "node", "left").select("node", "n", "band", "short", F.coalesce("comp", "node").alias("comp"))
     rows = members.select("key", "node").join(own, "node")
-    per = members.groupBy("key").agg(F.count("*").alias("held"), F.min("pivot").alias("node")).where(F.col("held") > BLOCK)
-    per = per.join(comp, "node", "left").select("key", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.coalesce("comp", "node").alias("main"))
-    per = scratch.table(per, f"{name}-cut")
+    big = members.where(F.col("nth") >= BLOCK).select("key").distinct()
+    cuts = bool(big.head(1))
     plain = [F.lit(0).alias(c) for c in ("gband", "block", "visit", "main")]
     names = ["key", "gband", "block", "visit", "main", "n", "node", "comp", "short"]
-    if per.head(1):
+    if cuts:
+        per = members.join(big, "key", "left_semi").groupBy("key").agg(F.count("*").alias("held"), F.min("pivot").alias("node")).join(comp, "node", "left")
+        per = scratch.table(per.select("key", F.ceil(F.col("held") / BLOCK).alias("blocks"), F.coalesce("comp", "node").alias("main")), f"{name}-cut")
         cut = rows.join(per, "key").withColumn("home", F.pmod(F.xxhash64("node"), F.col("blocks")))
         there = F.explode(F.expr("transform(sequence(0L, 3 * blocks - 1), x -> named_struct('gband', band - 1 + cast(x div blocks as int), 'block', x % blocks))"))
         visits = cut.where("comp <> main").withColumn("to", there).where("to.gband <> band or to.block <> home")
@@ -577,11 +606,12 @@ def across(members: DataFrame, comp: DataFrame, info: DataFrame, scratch: Scratc
     else:
         rows = rows.select("*", *plain).select(*names)
     by = names[:3]
-    found = rows.repartition(*by).sortWithinPartitions(*names[:4]).mapInArrow(_tile_pairs(num, den, most_pairs), "a long, b long, key long")
+    dealt = rows.repartition(*by) if cuts else few(rows.repartition(*by), members.count())
+    found = dealt.sortWithinPartitions(*names[:4]).mapInArrow(_tile_pairs(num, den, most_pairs), "a long, b long, key long")
     found = scratch.table(found, f"{name}-found")
     short = found.where("a is not null").select("a", "b").distinct()
-    pairs = scratch.table(allowed(short, info, num, den), f"{name}-pairs")
-    return pairs, found.where("key is not null").select("key").distinct()
+    pairs = scratch.table(allowed(short, info, num, den, found.count()), f"{name}-pairs")
+    return pairs, found.where("key is not null").select("key")
 
 
 def _decide(num: int, den: int):
@@ -616,7 +646,7 @@ def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, comm
     both = one.join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
     tile = ["comp", "bi", "bj"]
     dealt = scratch.table(both.select("comp", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "a", "b"), f"{name}-dealt")
-    arr = arrays(docs, placed, words, common, scratch, f"{name}-arrays")
+    arr = arrays(docs, placed.select("__k1"), words, common, scratch, f"{name}-arrays")
     held = dealt.select(*tile, F.col("a").alias("node")).union(dealt.select(*tile, "b")).distinct().join(arr, "node")
     held = held.select(*tile, F.lit(None).cast("long").alias("a"), F.col("node").alias("b"), "h")
     rows = held.union(dealt.select(*tile, "a", "b", F.lit(None).cast("binary").alias("h")))
@@ -626,24 +656,29 @@ def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, comm
     return links
 
 
-def joined_across(members: DataFrame, comp: DataFrame, info: DataFrame, docs: DataFrame, words: int, common, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """node, comp: the components when every pair across them that the bitmaps allow has been decided."""
+def joined_across(links: DataFrame, members: DataFrame, info: DataFrame, docs: DataFrame, words: int, common, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """node, comp: the components when every pair across them that the bitmaps allow has been decided. links: to pivots."""
     settled, last = None, FORESTS == 0
+    # A pivot's pivot will do for the first search: what is taken for two components costs a comparison, no link.
+    up = links.select(F.col("b").alias("a"), F.col("a").alias("up"))
+    comp = scratch.table(links.join(up, "a", "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("comp")), "stars")
     for i in range(FORESTS + 1):
         pairs, more = across(members, comp, info, scratch, f"round{i}", num, den, None if last else 4 ** (i + 1))
         if settled is not None:
             pairs = scratch.table(pairs.join(settled, ["a", "b"], "left_anti"), f"round{i}-new")
         found = bool(pairs.head(1))
         if found:
-            links = (decided if last else verified)(pairs, docs, info, words, common, scratch, f"round{i}", num, den)
-            settled = pairs if settled is None else settled.union(pairs)
-            if links.head(1):
-                comp = scratch.table(components(links.union(comp.select("node", "comp")), scratch, f"round{i}-joined"), f"round{i}-comp")
+            if last:
+                links = links.union(decided(pairs, docs, info, words, common, scratch, f"round{i}", num, den))
+            else:
+                links = links.union(verified(pairs, docs, words, common, scratch, f"round{i}", num, den))
+            settled = pairs.select("a", "b") if settled is None else settled.union(pairs.select("a", "b"))
         if last or not more.head(1):
             break
         last = i + 1 == FORESTS or not found
-        members = scratch.table(members.join(more, "key", "left_semi"), f"round{i}-members")
-    return comp
+        comp = scratch.table(components(links, scratch, f"round{i}-joined"), f"round{i}-comp")
+        members = scratch.table(members.join(more.distinct(), "key", "left_semi"), f"round{i}-members")
+    return components(links, scratch, "joined")
 
 
 def resolved(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -653,18 +688,18 @@ def resolved(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch)
     owned = sets.where("keys is not null")
     keys = owned.select(F.explode("keys").alias("key"), "node")
     # Equal sets come once a partition; what is left of them stands side by side here.
-    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, pivot long")
+    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, pivot long, nth long")
     members = scratch.table(shared, "members")
-    # Of a node's pivots the one that it shares most tiles with.
-    counted = members.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("c"))
-    pivots = counted.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b"))
     nodes = members.select("node").distinct()
     first = F.min(F.struct("__k1", "n", "band", "short", "bits")).alias("of")
-    info = scratch.table(owned.select("node", "__k1", "n", "band", "short", "bits").join(nodes, "node", "left_semi").groupBy("node").agg(first).select("node", "of.*"), "info")
-    pivots = scratch.table(allowed(pivots, info, num, den), "pivots-allowed")
-    links = verified(pivots, docs, info, words, common, scratch, "pivots", num, den)
-    comp = scratch.table(components(links, scratch, "first"), "comp1")
-    comp = joined_across(members, comp, info, docs, words, common, scratch, num, den)
+    info = owned.select("node", "__k1", "n", "band", "short", "bits").join(nodes, "node", "left_semi").groupBy("node").agg(first).select("node", "of.*")
+    info = scratch.table(few(info, members.count()), "info")
+    # Of a node's pivots the one that it shares most tiles with; nodes are dealt once for both counts and for their bitmaps.
+    counted = members.where("node <> pivot").select("node", "pivot").repartition("node").groupBy("node", "pivot").agg(F.count("*").alias("c"))
+    pivots = counted.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b"))
+    pivots = scratch.table(allowed(pivots, info, num, den, info.count()), "pivots-allowed")
+    links = verified(pivots, docs, words, common, scratch, "pivots", num, den)
+    comp = joined_across(links, members, info, docs, words, common, scratch, num, den)
     common.destroy()
     return sets, comp
 
@@ -677,13 +712,30 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: i
         rep = sets.where("doc_id is not null and node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
         rep = rep.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = rep.groupBy("comp").agg(F.min("rep").alias("least"))
-        classes = scratch.table(rep.join(least, "comp").select("node", "least"), "classes")
-        every = sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(classes, "node", "left")
+        every = sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(rep.join(least, "comp").select("node", "least"), "node", "left")
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
         return scratch.table(every.select("doc_id", "n_shingles", own.alias("component_id")), "result", keep=True)
 
 
+LAST_ID = (1 << 63) - 1
+
+
 def without_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its class, and those with a null doc_id. Of repeated rows of a doc_id all stay."""
-    gone = near_duplicate_classes(docs, words, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """One row of docs for each class: that of the smallest doc_id (null comes last), of those the one whose text hashes lowest.
+
+    Rows without words are classes of their own and stay, however often they are repeated. Of other rows
+    equal in doc_id and text any one stays. Other columns pass through, whatever their names.
+    """
+    i, k = unused(docs, "__id", "__text")
+    row = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), k: content_key("text")[0]})
+    with Scratch(docs.sparkSession) as scratch:
+        sets, comp = resolved(row.select(F.col(i).alias("doc_id"), F.col(k).alias("__k1"), "text"), words, num, den, scratch)
+        own = sets.where("node is not null").groupBy("node", F.col("doc_id").alias(i), F.col("__k1").alias(k)).agg(F.count("*").alias("times"))
+        own = scratch.table(own.join(comp, "node", "left").select(i, k, "times", F.coalesce("comp", "node").alias("comp")), "own")
+        best = own.groupBy("comp").agg(F.min(F.struct(i, k)).alias("best"))
+        gone = scratch.table(own.join(best, "comp").where(F.struct(i, k) != F.col("best")).select(i, k), "gone", keep=True)
+        again = scratch.table(own.where("times > 1").select(i, k), "again", keep=True)
+    out = only(row, gone, i, k, how="left_anti")
+    if again.head(1):
+        out = only(out, again, i, k, how="left_anti").union(only(out, again, i, k).dropDuplicates([i, k]))
+    return out.select(*docs.columns)

@@ -80,7 +80,17 @@ def test_one_document_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({c for _, c in plain(rows, 5, 4, 5).values()})
 
 
+def test_one_row_of_repeated_and_null_ids_stays(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, text, 1), (5, text, 1), (7, text + " x", 2), (7, other, 3), (None, other + " x", 4), (None, "alone", 5), (None, "alone", 5), (9, "", 6), (9, "", 6), (None, None, 7)]
+    for extra in ("__id", "node"):
+        out = nj.without_near_duplicates(spark.createDataFrame(rows, f"doc_id long, text string, {extra} int").repartition(3), 5, 4, 5)
+        assert out.columns == ["doc_id", "text", extra]
+        assert sorted(r[extra] for r in out.collect()) == [1, 3, 5, 6, 6, 7]
+
+
 def test_empty_table(spark):
+    assert nj.without_near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert nj.near_duplicate_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
