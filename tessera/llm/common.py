@@ -29,12 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _temporary[app]
 
 
+BATCH, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 class Scratch:
     """Intermediate tables in the shared folder.
 
     A written table cuts lineage and survives the loss of executors. Leaving
     the ``with`` block deletes every table but those written with keep=True,
-    which lazily evaluated results still read.
+    which lazily evaluated results still read. In the block Arrow batches are
+    small, as rows may hold whole texts and arrays.
     """
 
     def __init__(self, spark: SparkSession):
@@ -60,9 +64,12 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
     def __enter__(self) -> Scratch:
+        self.batch = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, str(min(ROWS_A_BATCH, int(self.batch)) if int(self.batch) > 0 else ROWS_A_BATCH))
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(BATCH, self.batch)
         for path in self.paths:
             self._delete(path)
         self.paths = []
@@ -89,9 +96,9 @@ def only(df: DataFrame, keys: DataFrame, *on: str, how: str = "left_semi") -> Da
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys.distinct(), list(on), how)
 
 
-def few(df: DataFrame, rows: int, each: int = 5_000) -> DataFrame:
-    """df in no more tasks than so many rows need, 8 at least; a df of fewer tasks stays as it is."""
-    return df.coalesce(max(8, -(-rows // each)))
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df in no more tasks than so many rows need, 2 at least; a df of fewer tasks stays as it is. A small table is few files."""
+    return df.coalesce(max(2, -(-rows // each)))
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

@@ -366,7 +366,7 @@ def allowed(pairs: DataFrame, info: DataFrame, num: int, den: int, rows: int) ->
     own = info.select("node", "n", "__k1", F.coalesce("bits", "short").alias("x"))
     one = pairs.join(own.toDF("b", "nb", "kb", "xb"), "b")
     both = one.join(own.toDF("a", "na", "ka", "xa"), "a")
-    return few(both, rows).select("a", "b", "ka", "kb", "na", "nb", "xa", "xb").mapInArrow(_allowed(num, den), "a long, b long, ka long, kb long")
+    return few(both, rows, 20_000).select("a", "b", "ka", "kb", "na", "nb", "xa", "xb").mapInArrow(_allowed(num, den), "a long, b long, ka long, kb long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, common, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
@@ -409,7 +409,7 @@ def _star(large: bool):
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, comp: for each node of the links a, b the smallest node it reaches (large and small stars in turn)."""
-    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), f"{name}-edges")
+    edges = scratch.table(few(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), links.count()), f"{name}-edges")
     last, rows = None, edges.count()
 
     def starred(pairs: DataFrame, large: bool) -> DataFrame:
@@ -606,7 +606,7 @@ def across(members: DataFrame, comp: DataFrame, info: DataFrame, scratch: Scratc
     else:
         rows = rows.select("*", *plain).select(*names)
     by = names[:3]
-    dealt = rows.repartition(*by) if cuts else few(rows.repartition(*by), members.count())
+    dealt = rows.repartition(*by) if cuts else few(rows.repartition(*by), members.count(), 20_000)
     found = dealt.sortWithinPartitions(*names[:4]).mapInArrow(_tile_pairs(num, den, most_pairs), "a long, b long, key long")
     found = scratch.table(found, f"{name}-found")
     short = found.where("a is not null").select("a", "b").distinct()
@@ -637,15 +637,15 @@ def _decide(num: int, den: int):
 
 def decided(pairs: DataFrame, docs: DataFrame, info: DataFrame, words: int, common, scratch: Scratch, name: str, num: int, den: int) -> DataFrame:
     """The pairs a, b that are linked, as verified finds them, but of many pairs: an array goes once to each tile that holds pairs of it."""
-    group = scratch.table(components(pairs, scratch, name), f"{name}-groups")
+    group, rows = components(pairs, scratch, name), pairs.count()
     sized = group.join(info.select("node", "n", "__k1"), "node")
     blocks = sized.groupBy("comp").agg(F.ceil(F.sum("n") / TILE_SHINGLES).alias("blocks"))
     placed = sized.join(blocks, "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = scratch.table(placed.select("node", "__k1", "comp", "block"), f"{name}-placed")
+    placed = scratch.table(few(placed.select("node", "__k1", "comp", "block"), 2 * rows), f"{name}-placed")
     one = pairs.join(placed.select(F.col("node").alias("a"), "comp", F.col("block").alias("x")), "a")
     both = one.join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
     tile = ["comp", "bi", "bj"]
-    dealt = scratch.table(both.select("comp", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "a", "b"), f"{name}-dealt")
+    dealt = scratch.table(few(both.select("comp", F.least("x", "y").alias("bi"), F.greatest("x", "y").alias("bj"), "a", "b"), rows), f"{name}-dealt")
     arr = arrays(docs, placed.select("__k1"), words, common, scratch, f"{name}-arrays")
     held = dealt.select(*tile, F.col("a").alias("node")).union(dealt.select(*tile, "b")).distinct().join(arr, "node")
     held = held.select(*tile, F.lit(None).cast("long").alias("a"), F.col("node").alias("b"), "h")
@@ -661,11 +661,11 @@ def joined_across(links: DataFrame, members: DataFrame, info: DataFrame, docs: D
     settled, last = None, FORESTS == 0
     # A pivot's pivot will do for the first search: what is taken for two components costs a comparison, no link.
     up = links.select(F.col("b").alias("a"), F.col("a").alias("up"))
-    comp = scratch.table(links.join(up, "a", "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("comp")), "stars")
+    comp = links.join(up, "a", "left").select(F.col("b").alias("node"), F.coalesce("up", "a").alias("comp"))
     for i in range(FORESTS + 1):
         pairs, more = across(members, comp, info, scratch, f"round{i}", num, den, None if last else 4 ** (i + 1))
         if settled is not None:
-            pairs = scratch.table(pairs.join(settled, ["a", "b"], "left_anti"), f"round{i}-new")
+            pairs = scratch.table(few(pairs.join(settled, ["a", "b"], "left_anti"), pairs.count()), f"round{i}-new")
         found = bool(pairs.head(1))
         if found:
             if last:
@@ -676,8 +676,8 @@ def joined_across(links: DataFrame, members: DataFrame, info: DataFrame, docs: D
         if last or not more.head(1):
             break
         last = i + 1 == FORESTS or not found
-        comp = scratch.table(components(links, scratch, f"round{i}-joined"), f"round{i}-comp")
-        members = scratch.table(members.join(more.distinct(), "key", "left_semi"), f"round{i}-members")
+        comp = components(links, scratch, f"round{i}-joined")
+        members = scratch.table(few(members.join(more.distinct(), "key", "left_semi"), members.count()), f"round{i}-members")
     return components(links, scratch, "joined")
 
 
@@ -693,7 +693,7 @@ def resolved(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch)
     nodes = members.select("node").distinct()
     first = F.min(F.struct("__k1", "n", "band", "short", "bits")).alias("of")
     info = owned.select("node", "__k1", "n", "band", "short", "bits").join(nodes, "node", "left_semi").groupBy("node").agg(first).select("node", "of.*")
-    info = scratch.table(few(info, members.count()), "info")
+    info = scratch.table(few(info, members.count(), 100_000), "info")
     # Of a node's pivots the one that it shares most tiles with; nodes are dealt once for both counts and for their bitmaps.
     counted = members.where("node <> pivot").select("node", "pivot").repartition("node").groupBy("node", "pivot").agg(F.count("*").alias("c"))
     pivots = counted.groupBy("node").agg(F.min(F.struct((-F.col("c")).alias("c"), "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b"))
@@ -714,7 +714,7 @@ def near_duplicate_classes(docs: DataFrame, words: int = 5, num: int = 4, den: i
         least = rep.groupBy("comp").agg(F.min("rep").alias("least"))
         every = sets.select("doc_id", "node", F.col("n").alias("n_shingles")).join(rep.join(least, "comp").select("node", "least"), "node", "left")
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
-        return scratch.table(every.select("doc_id", "n_shingles", own.alias("component_id")), "result", keep=True)
+        return scratch.table(few(every.select("doc_id", "n_shingles", own.alias("component_id")), sets.count()), "result", keep=True)
 
 
 LAST_ID = (1 << 63) - 1
@@ -731,10 +731,10 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den:
     with Scratch(docs.sparkSession) as scratch:
         sets, comp = resolved(row.select(F.col(i).alias("doc_id"), F.col(k).alias("__k1"), "text"), words, num, den, scratch)
         own = sets.where("node is not null").groupBy("node", F.col("doc_id").alias(i), F.col("__k1").alias(k)).agg(F.count("*").alias("times"))
-        own = scratch.table(own.join(comp, "node", "left").select(i, k, "times", F.coalesce("comp", "node").alias("comp")), "own")
+        own = scratch.table(few(own.join(comp, "node", "left").select(i, k, "times", F.coalesce("comp", "node").alias("comp")), sets.count()), "own")
         best = own.groupBy("comp").agg(F.min(F.struct(i, k)).alias("best"))
-        gone = scratch.table(own.join(best, "comp").where(F.struct(i, k) != F.col("best")).select(i, k), "gone", keep=True)
-        again = scratch.table(own.where("times > 1").select(i, k), "again", keep=True)
+        gone = scratch.table(few(own.join(best, "comp").where(F.struct(i, k) != F.col("best")).select(i, k), own.count()), "gone", keep=True)
+        again = scratch.table(few(own.where("times > 1").select(i, k), own.count()), "again", keep=True)
     out = only(row, gone, i, k, how="left_anti")
     if again.head(1):
         out = only(out, again, i, k, how="left_anti").union(only(out, again, i, k).dropDuplicates([i, k]))

@@ -22,21 +22,27 @@ import re
 import struct
 import unicodedata
 import zlib
+from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes
+from .common import Scratch
 
 CAPACITY = 2048
 END = 0
 TOKENIZER = "word_bpe_49k.json"
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 6, 4
 SHARD_ITEMS, LEVELS, WELL_FILLED = 4096, 3, 0.98
-CACHE_WORDS = 800_000
+SHARDS_A_TASK = 16
+CACHE_WORDS, BYTES_AT_ONCE = 600_000, 1 << 22
 
-_PLAIN = re.compile(rb"([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)?")
+#: A line: lower-case letters with or without punctuation behind, which are separate pieces to the tokenizer; else two empty groups.
+_PLAIN = re.compile(rb"^(?:([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)?|.*)$", re.MULTILINE)
 
 
 def as_ids(ids: list[int]) -> bytes:
@@ -48,7 +54,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words one after another; words' ids are remembered, up to
-    a bound.
+    a bound. Special tokens' strings become their ids, as the file has it.
     """
 
     def __init__(self, name: str):
@@ -59,55 +65,93 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.of_id = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         # The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.byte_letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def letters(self, core: bytes) -> bytes | None:
-        """The ids of a run of lower-case letters, straight from the model; None if the normaliser might change it."""
-        ids = self.known.get(core)
-        if ids is None:
-            s = core.decode()
+    def letters(self, cores: list[bytes]) -> list[bytes]:
+        """Learns runs of lower-case letters straight from the model; returns those that the normaliser might change."""
+        known, of_id, tokenize, normal = self.known, self.of_id, self.tokenizer.model.tokenize, unicodedata.is_normalized
+        others = []
+        for core, s in zip(cores, b"\n".join(cores).decode().split("\n"), strict=True):
             if not s.isascii():
-                if not (s.isalpha() and s == s.lower() and unicodedata.is_normalized("NFC", s)):
-                    return None
+                if not (s.isalpha() and s == s.lower() and normal("NFC", s)):
+                    others.append(core)
+                    continue
                 s = core.decode("latin-1").translate(self.byte_letters)
-            ids = self.known[core] = as_ids([t.id for t in self.tokenizer.model.tokenize(s)])
-        return ids
-
-    def learn(self, words: list[bytes]) -> None:
-        """Most words are letters with or without punctuation behind, which are separate pieces to the tokenizer."""
-        others = []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            ids = self.letters(m[1]) if m else None
-            if ids is None:
-                others.append(w)
-            elif m[2]:
-                tail = self.known.get(m[2])
-                if tail is None:
-                    self.whole([m[2]])
-                    tail = self.known[m[2]]
-                self.known[w] = ids + tail
-        if others:
-            self.whole(others)
+            known[core] = b"".join([of_id[t.id] for t in tokenize(s)])
+        return others
 
     def whole(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False) if words else []
         for w, e in zip(words, encoded, strict=True):
             self.known[w] = as_ids(e.ids)
 
+    def ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words: of letters and of the punctuation behind, which are separate pieces, or of the whole word."""
+        found = _PLAIN.findall(b"\n".join(words))
+        cores, tails = set(map(itemgetter(0), found)), set(map(itemgetter(1), found))
+        others = [w for w, core in zip(words, found, strict=True) if not core[0]]
+        known = self.known
+        if len(known) + len(cores) + len(others) > CACHE_WORDS:  # what these texts use stays
+            known = self.known = {w: known[w] for part in (cores, tails, others) for w in part if w in known}
+        known[b""] = b""
+        if plain := list(cores.difference(known)):
+            others += self.letters(plain)
+        self.whole([w for part in (others, tails) for w in part if w not in known])
+        return [known[core] + known[tail] if tail else known[core or w] for w, (core, tail) in zip(words, found, strict=True)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]  # of bytes: ASCII only, as the tokenizer would
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        if new:
-            self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return list(self.encoded(pa.array(texts, pa.binary()).cast(pa.string())))
+
+    def encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, BYTES_AT_ONCE at a time; a longer text goes in stretches of words."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + BYTES_AT_ONCE, side="right")))
+            if sizes[at] > BYTES_AT_ONCE:
+                yield b"".join(x for part in stretches(texts[at].as_py().encode(), BYTES_AT_ONCE) for x in self._some(pa.array([part.decode()])))
+                to = at + 1
+            else:
+                yield from self._some(texts.slice(at, to - at))
+            at = to
+
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        """Each distinct word is looked up once; the texts' ids are gathered by the words' codes."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # ASCII only, as the tokenizer would
+        codes = split.flatten().dictionary_encode()
+        words = codes.dictionary.cast(pa.binary()).to_pylist()  # with an empty one where white space stands at an end
+        own = self.ids_of(words) if words else []
+        lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        at = np.cumsum(lengths) - lengths
+        code = codes.indices.to_numpy()
+        n = lengths[code]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(own), "<u4")
+        ids = ids[np.repeat(at[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.r_[0, ends][split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        out = [ids[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        # Special tokens are looked for before letters are lowered.
+        for i in np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)).tolist():
+            out[i] = as_ids(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
+        return out
+
+
+_SPACE = re.compile(rb"[ \t-\r]")
+
+
+def stretches(text: bytes, size: int) -> Iterator[bytes]:
+    """The text cut at white space into stretches of about this size."""
+    at = 0
+    while at < len(text):
+        space = _SPACE.search(text, at + size)
+        to = space.start() if space else len(text)
+        yield text[at:to]
+        at = to
 
 
 def encoder(name: str) -> WordEncoder:
@@ -131,14 +175,13 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
         enc, end = encoder(tokenizer), END.to_bytes(4, "little")
         for batch in batches:
             at, rows = [], []
-            texts = as_bytes(batch.column("text"))
-            for lo in range(0, len(texts), 256):
-                for i, ids in enumerate(enc.encode(texts[lo : lo + 256]), lo):
-                    ids += end
-                    n = len(ids) // 4
-                    for p, s in enumerate(range(0, n, capacity)):
-                        at.append(i)
-                        rows.append((p, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])))
+            texts = pc.fill_null(batch.column("text"), "")
+            for i, ids in enumerate(enc.encoded(texts)):
+                ids += end
+                n = len(ids) // 4
+                for p, s in enumerate(range(0, n, capacity)):
+                    at.append(i)
+                    rows.append((p, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)])))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -333,7 +376,7 @@ def pack(pieces: DataFrame, scratch: Scratch, capacity: int = CAPACITY, islands:
         both = F.array_sort(F.collect_list(F.struct("uid", "length")))
         shards = items.groupBy(shard.alias("shard")).agg(both.alias("b")).select("shard", F.col("b.uid").alias("uids"), F.col("b.length").alias("lengths"))
         # A row a shard: dealt out anew, so that islands of one shard run beside those of others.
-        shards = scratch.table(shards.repartition(max(1, min(n_shards, 200)), "shard"), f"shards{level}")
+        shards = scratch.table(shards.repartition(max(1, min(n_shards, 200), n_shards // SHARDS_A_TASK), "shard"), f"shards{level}")
         best = evolve_islands(shards, scratch, f"level{level}", capacity, islands, epochs, seed + 100 * level)
         rows = shards.join(best, "shard").mapInArrow(_place(capacity, level, last), "uid long, length long, sequence_id long, offset long")
         rows = scratch.table(rows, f"placed{level}", keep=True)

@@ -69,10 +69,9 @@ def test_empty_mix_and_pack(spark):
 def test_packing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choices(["alpha", "Beta,", "gämma", "don't", "12.5", "zzz!!", "ſtrange", "…"], k=rng.choice([0, 3, 50, 400, 900])))) for i in range(150)]
-    rows += [(1000, None), (1001, ""), (1002, "word " * 9000), rows[5], (None, "a b c"), (1003, "<|endoftext|> x")]
+    rows += [(1000, None), (1001, ""), (1002, "word " * 9000), rows[5], (None, "a b c"), (1003, "<|endoftext|> x"), (1004, "x a<|endoftext|>B <|ENDOFTEXT|> <|startoftext|>"), (1005, " it's  WE'LL\u00a0ok \x1c x²  Ünd"), (1006, "né " * 3000)]
     got = packed(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, uid int")).collect()
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = []
     for i, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -104,6 +103,14 @@ def test_genetic_search_reaches_a_perfect_packing():
     assert sorted(i for b in child[1] for i in b) == list(range(len(lengths)))
 
 
+def test_word_encoder_cuts_long_texts_at_white_space(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abé'.1", k=rng.randrange(1, 9))) for _ in range(400))
+    want = WordEncoder("word_bpe_49k.json").encode([text.encode(), b"", b"a"])
+    monkeypatch.setattr("tessera.llm.packing.BYTES_AT_ONCE", 50)
+    assert WordEncoder("word_bpe_49k.json").encode([text.encode(), b"", b"a"]) == want
+
+
 def test_word_encoder_forgets_and_still_agrees(monkeypatch):
     monkeypatch.setattr("tessera.llm.packing.CACHE_WORDS", 3)
     enc = WordEncoder("word_bpe_49k.json")
