@@ -20,9 +20,11 @@ _temporary: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, single machines)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset and the master is local."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _temporary:
         _temporary[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"

@@ -7,8 +7,11 @@ stands unchanged in any such text, so an Aho-Corasick pass over all pieces
 finds every candidate place; there the regex library's bounded-error matching
 verifies the edits and gives the span.
 
-Defined cases. Null text is empty: no words, no labels, score 0. Whole texts
-are scanned. Only doc_id and text are read.
+Defined cases. Null or empty text: no words, no labels, score 0. Whole texts
+are scanned, however long. Repeated rows get equal results, a null doc_id stays
+null, an empty table gives an empty result. Of equally good matches at a place
+the regex library's first one counts. Only doc_id and text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -84,10 +87,10 @@ class NoticeFinder:
                 lo = max(0, end - size + 1 - offset - k)
                 hi = min(len(norm), end - size + 1 - offset + len(text) + k)
                 own = windows.setdefault(i, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][1] = max(hi, own[-1][1])
-                else:
-                    own.append([lo, hi])
+                own.append([lo, hi])
+                while len(own) > 1 and own[-1][0] <= own[-2][1]:  # a later piece may open its window further left
+                    lo, hi = own.pop()
+                    own[-1] = [min(lo, own[-1][0]), max(hi, own[-1][1])]
         found = []
         for i, own in windows.items():
             label, text, _ = self.notices[i]

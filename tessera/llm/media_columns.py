@@ -91,6 +91,8 @@ def _track(data: bytes, trak: tuple) -> dict:
     codec = data[s + 12 : s + 16].decode("latin-1")
     _, s, e, _ = table[b"stsz"][0]
     fixed, n = struct.unpack_from(">II", data, s + 4)
+    if fixed and fixed * n > len(data):
+        raise MediaError("samples longer than the file")
     sizes = [fixed] * n if fixed else [x[0] for x in _table(data, table[b"stsz"][0], "I", 8)]
     chunks = [x[0] for x in (_table(data, table[b"stco"][0], "I") if table[b"stco"] else _table(data, table[b"co64"][0], "Q") if table[b"co64"] else [])]
     runs, ranges, sample = _table(data, table[b"stsc"][0], "III"), [], 0
@@ -127,6 +129,8 @@ def parse(data: bytes) -> tuple[str, list[dict]]:
         raise MediaError("empty")
     try:
         nodes = tree(data, 0, len(data))
+        if find(nodes, b"moof"):  # their samples are in the fragments' own tables
+            raise MediaError("fragmented files aren't read")
         ftyp = find(nodes, b"ftyp")
         return data[ftyp[0][1] : ftyp[0][1] + 4].decode("latin-1") if ftyp else "", [_track(data, t) for t in find(nodes, b"moov", b"trak")]
     except struct.error as e:

@@ -79,7 +79,9 @@ def _sizes(batches):
 
 
 def row_key(seed: int):
-    return F.concat_ws(":", F.xxhash64("doc_id", "source", "text"), F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
+    """Nulls count: a hash passes over them, so where they stand is hashed too."""
+    row = ["doc_id", "source", "text", *(F.col(c).isNull() for c in ("doc_id", "source", "text"))]
+    return F.concat_ws(":", F.xxhash64(*row), F.xxhash64(F.lit(seed), *row))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:

@@ -32,6 +32,7 @@ from .common import Scratch
 
 SAMPLE_ROWS = 20_000
 MOST_CENTROIDS, STRIPS = 128, 16
+QUERIES_A_TASK = 128
 PROBE_SHARE, LEAST_PROBED = 0.4, 2000
 BLOCK = 2048
 SEED = 5
@@ -74,7 +75,9 @@ def walk(first: np.ndarray, second: np.ndarray, counts: dict[int, int], enough:
 def usable(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     """vec_id and v (array<double>) of the rows that take part, and the length of v."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 1")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
+    # A second half for vectors of one component.
+    rows = rows.withColumn("v", F.when(F.size("v") == 1, F.concat("v", F.array(F.lit(0.0)))).otherwise(F.col("v")))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
     rows = scratch.table(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors", keep=True)
@@ -129,7 +132,8 @@ def search(vectors: DataFrame, every: int, k: int = 20, share: float = PROBE_SHA
                     names=["query_id", "q", "strip", "cells"],
                 )
 
-        asked = rows.where(F.col("vec_id") % every == 0).repartition("vec_id")
+        asked = rows.where(F.col("vec_id") % every == 0)
+        asked = asked.repartition(max(1, -(-asked.count() // QUERIES_A_TASK)), "vec_id")
         asked = scratch.table(asked.mapInArrow(probes, "query_id long, q array<double>, strip long, cells binary"), "probes", keep=True)
         strip = F.floor(F.col("cell") / wide).cast("long")
         sizes = index.groupBy(strip.alias("strip")).count().withColumnRenamed("count", "__v").join(asked.groupBy("strip").count().withColumnRenamed("count", "__q"), "strip")

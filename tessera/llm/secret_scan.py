@@ -5,11 +5,16 @@ conjunction of its trigrams, a branch the disjunction of what its alternatives
 give. Each Arrow batch of documents is one segment of the index: posting sets
 of the trigrams that some query names. The query is evaluated over the
 postings, and only the documents left are matched against the regex. A rule
-without a mandatory trigram scans every document. Trigrams are of the text in
-ASCII lower case, so letters of either case are found.
-
-Defined cases. Null text is empty. Whole texts are scanned; spans are in code
-points, end exclusive. Only doc_id and text are read.
+without a mandatory trigram scans every document. Trigrams are of texts and
+literals in ASCII lower case, so letters of either case are found. A rule that
+ignores case beyond ASCII takes trigrams of ASCII letters only, and every text
+with other characters is a candidate of it.
+
+Defined cases. Null text is empty and has no spans. Whole texts are scanned,
+however long; spans are in code points, end exclusive, sorted by start, then by
+the rules' order. Repeated rows get equal results, a null doc_id stays null, an
+empty table gives an empty result. Only doc_id and text are read, so other
+columns may have any names.
 """
 
 from __future__ import annotations
@@ -50,18 +55,28 @@ def _or(parts: list) -> tuple:
     return ALL if ALL in parts or not parts else parts[0] if len(parts) == 1 else ("or", *parts)
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def beyond_ascii(flags: int) -> bool:
+    """Whether letters match others of which one isn't ASCII, as k and the Kelvin sign."""
+    return bool(flags & re.IGNORECASE) and not flags & re.ASCII
+
+
 def _run(literal: str) -> tuple:
     return _and([("tri", literal[i : i + 3]) for i in range(len(literal) - 2)])
 
 
 def trigram_query(pattern: str, flags: int = 0) -> tuple:
-    """("all",), ("tri", t), ("and", ...) or ("or", ...): what a text in lower case must hold for the pattern to match."""
+    """("all",), ("tri", t), ("and", ...) or ("or", ...): what a text in ASCII lower case must hold for the pattern to match."""
+    parsed = sre.parse(pattern, flags)
+    wide = beyond_ascii(parsed.state.flags)
 
     def fixed(items) -> str | None:
         """The one string that the items match, if there is just one."""
         out = ""
         for op, arg in items:
-            if op is sre.LITERAL:
+            if op is sre.LITERAL and not (wide and arg > 127):
                 out += chr(arg)
             elif op is sre.SUBPATTERN and (s := fixed(arg[3])) is not None:
                 out += s
@@ -75,7 +90,7 @@ def trigram_query(pattern: str, flags: int = 0) -> tuple:
         parts, literal = [], ""
         for op, arg in items:
             if (s := fixed([(op, arg)])) is not None:
-                literal += s.lower()
+                literal += s.translate(_LOWER)
                 continue
             parts.append(_run(literal))
             literal = ""
@@ -88,7 +103,7 @@ def trigram_query(pattern: str, flags: int = 0) -> tuple:
         parts.append(_run(literal))
         return _and(parts)
 
-    return query(sre.parse(pattern, flags))
+    return query(parsed)
 
 
 def trigrams(query: tuple) -> set[str]:
@@ -104,9 +119,6 @@ def candidates(query: tuple, postings: dict[str, set[int]], every: set[int]) ->
     return set.intersection(*found) if query[0] == "and" else set.union(*found)
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 class SecretIndex:
     """One index segment: the postings of the trigrams that the rules' queries name."""
 
@@ -122,9 +134,11 @@ class SecretIndex:
     def find(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """(start, index of the rule, end) of each text's matches, sorted."""
         postings, every = self.postings(texts), set(range(len(texts)))
+        others = {i for i, t in enumerate(texts) if not t.isascii()}
         out: list[list] = [[] for _ in texts]
         for k, ((_, pattern, group, least), query) in enumerate(zip(self.rules, self.queries, strict=True)):
-            for i in candidates(query, postings, every):
+            found = candidates(query, postings, every)
+            for i in found | others if beyond_ascii(pattern.flags) else found:
                 out[i] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[i]) if m.end(group) - m.start(group) >= least]
         return [sorted(x) for x in out]
 

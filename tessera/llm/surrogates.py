@@ -17,13 +17,17 @@ entities stays as it is, so documents without any are returned unchanged.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, content_key
 
-KEY = "tessera-surrogates-1"
-ROUNDS = 12
+#: The key of the registered query, which is public as its results are; a real run has a secret one.
+QUERY_KEY = "tessera-surrogates-1"
+#: From this attempt on surrogates are of a wider form, as the entity's own form may have too few.
+WIDER, ROUNDS = 4, 60
 
 #: Titles that tell a name and a gender.
 MALE = "Mr|Herr|Señor|Sr|Monsieur|г-н"
@@ -99,7 +103,8 @@ def luhn(digits: str) -> str:
 def _family(script: str) -> str:
     s = _quoted(SYLLABLES[script])
     n = len(SYLLABLES[script])
-    return f"initcap(concat({s}[{byte_at('7')} % {n}], {s}[{byte_at('8')} % {n}], {s}[{byte_at('9')} % {n}], {s}[{byte_at('10')} % {n}]))"
+    more = f"CASE WHEN attempt >= {WIDER} THEN concat({s}[{byte_at('11')} % {n}], {s}[{byte_at('12')} % {n}], {s}[{byte_at('13')} % {n}]) ELSE '' END"
+    return f"initcap(concat({s}[{byte_at('7')} % {n}], {s}[{byte_at('8')} % {n}], {s}[{byte_at('9')} % {n}], {s}[{byte_at('10')} % {n}], {more}))"
 
 
 def _given(gender: str, script: str) -> str:
@@ -115,10 +120,11 @@ def surrogate_of() -> str:
         return f"CASE WHEN canon RLIKE r'\\p{{IsCyrillic}}' THEN {by_script['cyrillic']} ELSE {by_script['latin']} END"
 
     body = in_kind("left(canon, length(canon) - 1)", "1")
-    octet = f"""CASE WHEN i = 0 AND (o IN ('10', '127') OR canon LIKE '192.168.%') THEN o
+    octet = f"""CASE WHEN canon LIKE '192.168.%' AND attempt >= {WIDER} THEN CASE WHEN i = 0 THEN '10' ELSE cast({byte_at('i')} % 254 + 1 as string) END
+      WHEN i = 0 AND (o IN ('10', '127') OR canon LIKE '192.168.%') THEN o
       WHEN i = 1 AND canon LIKE '192.168.%' THEN o ELSE cast({byte_at('i')} % 254 + 1 as string) END"""
     return f"""CASE kind
-      WHEN 'email' THEN concat({in_kind("substring_index(canon, '@', 1)")}, '@', {in_kind("substring_index(substring_index(canon, '@', -1), '.', 1)", "0").replace(byte_at('i'), byte_at('i + 29'))}, '.example.', substring_index(canon, '.', -1))
+      WHEN 'email' THEN concat({in_kind("substring_index(canon, '@', 1)")}, CASE WHEN attempt >= {WIDER} THEN substr(h, 101, 12) ELSE '' END, '@', {in_kind("substring_index(substring_index(canon, '@', -1), '.', 1)", "0").replace(byte_at('i'), byte_at('i + 29'))}, '.example.', substring_index(canon, '.', -1))
       WHEN 'phone' THEN {in_kind('canon', '1')}
       WHEN 'ssn' THEN {in_kind('canon')}
       WHEN 'card' THEN concat({body}, {luhn('(' + body + ')')})
@@ -138,11 +144,19 @@ def worn(m: str, kind: str, s: str) -> str:
       ELSE {s} END"""
 
 
+def hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-512 of the message, in hexadecimal."""
+    raw = key.encode()
+    raw = (hashlib.sha512(raw).digest() if len(raw) > 128 else raw).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 512))), 512)
+
+
 def entity_surrogates(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     """kind, canon, surrogate: distinct surrogates for the distinct entities, none of them an entity itself."""
     now = scratch.table(entities.distinct().withColumn("attempt", F.lit(0)), "entities0")
     for n in range(1, ROUNDS + 1):
-        hashed = now.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon", F.col("attempt").cast("string")), 512))
+        hashed = now.withColumn("h", hmac(key, F.concat_ws("|", "kind", "canon", F.col("attempt").cast("string"))))
         made = hashed.withColumn("surrogate", F.expr(surrogate_of())).drop("h")
         met = made.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"))
         originals = now.select(F.col("kind"), F.when(F.col("kind").startswith("name"), F.initcap("canon")).otherwise(F.col("canon")).alias("surrogate"), F.lit(True).alias("taken"))
@@ -159,7 +173,7 @@ def text_key(text: Column | str = "text") -> list[Column]:
     return content_key(text)
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """docs with entities replaced in text, and n_entities and kinds (how many of each type, by name)."""
     with Scratch(docs.sparkSession) as scratch:
         texts = docs.select(*text_key(), "text").where(F.col("text").rlike(HINT))
@@ -187,5 +201,5 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def surrogate_digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_entities, kinds, and the text with surrogates."""
-    out = with_surrogates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    out = with_surrogates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), QUERY_KEY)
     return out.select("doc_id", "n_entities", "kinds", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))

@@ -42,3 +42,12 @@ def test_box_sizes_and_errors(spark):
     df = spark.createDataFrame([(1, bytearray(good)), (2, None), (3, bytearray(b"nonsense"))], "media_id int, data binary")
     rows = {r.media_id: r.media for r in m.media_columns(df, "data").collect()}
     assert rows[1].tracks[0].keyframes[0].length == 192 and rows[2].error == "empty" and rows[3].error
+
+
+def test_sample_counts_beyond_the_file_and_fragments_are_errors():
+    whole = m.build(b"x" * 192)
+    at = whole.index(b"stsz") + 8
+    bomb = whole[: at + 4] + struct.pack(">I", 300_000_000) + whole[at + 8 :]
+    for data in (bomb, whole + struct.pack(">I4s", 8, b"moof")):
+        with pytest.raises(m.MediaError):
+            m.parse(data)

@@ -60,3 +60,37 @@ def test_trigram_queries():
     assert trigram_query("(foo|[ab]+)") == ("all",) and trigram_query("ab?cde") == ("tri", "cde")
     index = SecretIndex()
     assert index.find([]) == []
+
+
+def test_notices_equal_a_plain_fuzzy_search():
+    import random
+
+    import regex
+
+    rng = random.Random(3)
+    notices = [("twice", "free of charge and free of charge to all who ask"), ("once", "licensed for use by anyone at no cost")]
+    finder = NoticeFinder(notices)
+    for _ in range(1500):
+        label, text = rng.choice(notices)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(text))
+            text = rng.choice([text[:at] + text[at + 1 :], text[:at] + "q" + text[at:], text[:at] + "q" + text[at + 1 :]])
+        norm = " ".join(f"a b {text} c d".split())
+        for name, notice, k in finder.notices:
+            plain = regex.search(f"(?:{notice}){{e<={k}}}", norm)
+            assert bool(plain) == any(f[0] == name for f in finder.find(norm)), (norm, name)
+
+
+def test_secret_rules_beyond_ascii_equal_a_full_scan():
+    texts = ["ÄÖÜ=abcdef", "äöü=abcdef", "to\u212aen1 tokens", "TOKEN9", "ſecret7", "x", "", "straße=1"]
+    rules = [("umlaut", "ÄÖÜ=[a-z]{6}", 0, 0, 0), ("umlaut_i", "ÄÖÜ=[a-z]{6}", re.IGNORECASE, 0, 0), ("token", "token[0-9a-z]", re.IGNORECASE, 0, 0), ("secret", "(?i)secret[0-9]", 0, 0, 0), ("ascii", "TOKEN[0-9]", re.ASCII, 0, 0), ("sharp", "straße", re.IGNORECASE | re.ASCII, 0, 0)]
+    got = SecretIndex(rules).find(texts)
+    for text, found in zip(texts, got, strict=True):
+        assert found == sorted((m.start(), k, m.end()) for k, (_, p, f, _, _) in enumerate(rules) for m in re.finditer(p, text, f))
+
+
+def test_scans_of_empty_tables_and_repeated_rows(spark):
+    for digest in (license_digest, secret_digest):
+        assert digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+        rows = digest(spark.createDataFrame([(1, "mit license token=abcdefgh")] * 2 + [(None, "x")], "doc_id long, text string")).collect()
+        assert rows[0] == rows[1] and rows[2].doc_id is None

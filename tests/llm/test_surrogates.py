@@ -1,6 +1,10 @@
+import hashlib
+import hmac as plain_hmac
 import re
 
-from tessera.llm.surrogates import surrogate_digest, with_surrogates
+from pyspark.sql import functions as F
+
+from tessera.llm.surrogates import hmac, surrogate_digest, with_surrogates
 
 ROWS = [
     (1, "Mail a.b1@mail3.example.com or A.B1@MAIL3.EXAMPLE.COM; +1 (523) 555-7040, card 4111 1111 1111 1111 and 4111111111111111"),
@@ -17,7 +21,7 @@ def luhn(s):
 
 def test_surrogates_keep_type_coreference_and_the_rest(spark):
     df = spark.createDataFrame([(*r, "clash") for r in ROWS], "doc_id long, text string, found string")
-    out = with_surrogates(df)
+    out = with_surrogates(df, "a key")
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == len(ROWS) and out.columns == ["doc_id", "text", "found", "n_entities", "kinds"]
     assert got[3].text is None and got[4].text == "" and got[5].text == ROWS[4][1] and got[5].n_entities == 0
@@ -42,6 +46,22 @@ def test_distinct_entities_stay_distinct(spark):
     assert not mails & {t.split()[0] for _, t in rows}
 
 
+def test_hmac_is_the_standard_one(spark):
+    for key in ("k", "long " * 50):
+        got = spark.range(1).select(hmac(key, F.lit("name|josé|0")).alias("h")).first().h
+        assert got == plain_hmac.new(key.encode(), "name|josé|0".encode(), hashlib.sha512).hexdigest()
+
+
+def test_a_form_with_too_few_surrogates_is_widened(spark):
+    # 520 of the 676 two-letter mailboxes at hosts of no own letters, and 40,000 of the 64,516 private addresses.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(i, f"{a}{b}@1.de") for i, (a, b) in enumerate((a, b) for a in letters[:20] for b in letters)]
+    rows += [(10_000 + i, " ".join(f"192.168.{i}.{j}" for j in range(1, 251))) for i in range(1, 161)]
+    out = surrogate_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    made = [x for r in out for x in r.text.split()]
+    assert len(made) == len(set(made)) == 520 + 40_000 and not set(made) & {x for _, t in rows for x in t.split()}
+
+
 def test_plan_is_native_and_empty_table(spark):
     out = surrogate_digest(spark.createDataFrame([], "doc_id long, text string"))
     assert out.collect() == []
