@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions.dialect import expand, statements
+from .functions.dialect import GROUP_CONCAT_MAX_LEN, expand, statements
 from .functions.udfs import NAMES, register
 from .session import configure
 
 
+_SET = re.compile(r"set\s+(?:session\s+)?@{0,2}group_concat_max_len\s*=\s*(\d+)\s*;?", re.IGNORECASE)
+_NUMBER_AS_DATE = re.compile(r"\bcast\s*\(\s*([\w.`]+)\s+as\s+date\s*\)", re.IGNORECASE)
+
+
 class Engine:
     """A catalog of named inputs and SQL in the dialect over them. Names are case-insensitive.
 
@@ -26,6 +31,7 @@ class Engine:
         configure(self.spark)
         self._udfs: set[str] = set()
         self._names: set[str] = set()
+        self.group_concat_max_len = 1024
 
     def register_parquet(self, name: str, path: str) -> DataFrame:
         return self.register(name, self.spark.read.parquet(path))
@@ -37,6 +43,9 @@ class Engine:
         return name.lower() in self._names
 
     def register(self, name: str, df: DataFrame) -> DataFrame:
+        if df.sparkSession is not self.spark:  # its plan in this engine's session, where the view belongs
+            rows = self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, df._jdf.queryExecution().analyzed())
+            df = DataFrame(rows, self.spark)
         df.createOrReplaceTempView(name.lower())
         self._names.add(name.lower())
         return df
@@ -47,11 +56,26 @@ class Engine:
         return self
 
     def query(self, sql: str) -> DataFrame:
-        return self.spark.sql(self._prepared(sql))
+        """The statement's result. SET group_concat_max_len = n is the engine's own setting."""
+        if m := _SET.fullmatch(sql.strip()):
+            self.group_concat_max_len = int(m[1])
+            return self.spark.createDataFrame([("group_concat_max_len", m[1])], "key string, value string")
+        sql = self._prepared(sql)
+        try:
+            return self.spark.sql(sql)
+        except AnalysisException as e:
+            if "CAST_" not in (e.getCondition() or "") or "DATE" not in str(e):
+                raise
+            # A number as a date: its digits are year, month and day.
+            return self.spark.sql(_NUMBER_AS_DATE.sub(r"to_date(cast(\1 as string), 'yyyyMMdd')", sql))
 
     def _prepared(self, sql: str) -> str:
         """The SQL expanded, and the Arrow functions that it names made known to the session."""
-        sql = expand(sql)
+        token = GROUP_CONCAT_MAX_LEN.set(self.group_concat_max_len)
+        try:
+            sql = expand(sql)
+        finally:
+            GROUP_CONCAT_MAX_LEN.reset(token)
         new = (NAMES & {w.lower() for w in re.findall(r"\w+", sql)}) - self._udfs
         register(self.spark, new)
         self._udfs |= new

@@ -8,9 +8,10 @@ in lower case; what isn't listed is Spark's own function of that name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from .formats import JODA_FORMAT, MYSQL_FORMAT, TERADATA_FORMAT, spark_pattern
+from .formats import JODA_FORMAT, MYSQL_FORMAT, MYSQL_PUT, TERADATA_FORMAT, spark_pattern
 
 Macro = Callable[[list[str]], str]
 MACROS: dict[str, Macro] = {}
@@ -126,11 +127,40 @@ def _date_diff(a):
 
 @macro("time_slice")
 def _time_slice(a):
-    """time_slice(ts, n, 'unit'[, 'floor' | 'ceil']): slices of n units from 0001-01-01."""
-    unit = literal(a[2]).upper()
-    steps = f"floor(timestampdiff({unit}, {ORIGIN}, {a[0]}) / {a[1]})"
-    add = 1 if len(a) > 3 and literal(a[3]).lower() == "ceil" else 0
-    return f"timestampadd({unit}, cast(({steps} + {add}) * {a[1]} as int), {ORIGIN})"
+    """time_slice(ts, n, 'unit'[, 'floor' | 'ceil']) or (ts, INTERVAL n unit[, floor | ceil]): slices of n units from 0001-01-01.
+
+    Counts are BIGINT, and added as days and what is left of a day; NULL beyond year 9999.
+    """
+    if m := re.match(r"\(?\s*interval\s+'?(\d+)'?\s+(\w+?)s?\s*\)?$", a[1], re.IGNORECASE):
+        a = [a[0], m[1], f"'{m[2]}'", *a[2:]]
+    unit, ts = literal(a[2]).upper(), f"cast({a[0]} as timestamp_ntz)"
+    add = 1 if len(a) > 3 and a[3].lower().strip("()' ") == "ceil" else 0
+    if unit in PARTS_OF_A_DAY:
+        days, parts = PARTS_OF_A_DAY[unit]
+        small = "MICROSECOND" if unit == "MICROSECOND" else "MILLISECOND" if unit == "MILLISECOND" else "SECOND"
+        a_day = {"SECOND": 86400, "MILLISECOND": 86400 * 10**3, "MICROSECOND": 86400 * 10**6}[small]
+        size = f"({a[1]} * {days * a_day // parts}L)"
+        # Whole days and the time of day, as a difference in microseconds overflows.
+        whole = f"(datediff({ts}, {ORIGIN}) * {a_day}L + timestampdiff({small}, date_trunc('DAY', {ts}), {ts}))"
+        total = f"(({whole} div {size} + {add}) * {size})"
+        rest = f"timestampadd(DAY, cast({total} div {a_day}L as int), {ORIGIN})"
+        left = f"{total} % {a_day}L"
+        if small == "SECOND":
+            got = f"timestampadd(SECOND, cast({left} as int), {rest})"
+        else:
+            per = a_day // 86400
+            got = f"timestampadd(MICROSECOND, cast({left} % {per}L * {10**6 // per} as int), timestampadd(SECOND, cast({left} div {per}L as int), {rest}))"
+        good = f"{total} div {a_day}L < 3652059"
+    else:
+        months = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}[unit]
+        size = f"({a[1]} * {months}L)"
+        total = f"((cast(timestampdiff(MONTH, {ORIGIN}, {ts}) as bigint) div {size} + {add}) * {size})"
+        got, good = f"timestampadd(MONTH, cast({total} as int), {ORIGIN})", f"{total} < 119988"
+    return f"CASE WHEN {good} THEN cast({got} as timestamp_ntz) END"
+
+
+#: Days and the parts that a day has, by unit: 7 / 1 for a week, 1 / 24 for an hour.
+PARTS_OF_A_DAY = {"WEEK": (7, 1), "DAY": (1, 1), "HOUR": (1, 24), "MINUTE": (1, 1440), "SECOND": (1, 86400), "MILLISECOND": (1, 86400 * 10**3), "MICROSECOND": (1, 86400 * 10**6)}
 
 
 @macro("date_slice")
@@ -149,7 +179,7 @@ def _last_day(a):
 
 @macro("date_format", "strftime")
 def _date_format(a):
-    return f"date_format({a[0]}, '{spark_pattern(literal(a[1]), MYSQL_FORMAT)}')"
+    return f"date_format({a[0]}, '{spark_pattern(literal(a[1]), MYSQL_PUT)}')"
 
 
 MACROS["time_format"] = _date_format
@@ -305,10 +335,19 @@ def _array_generate(a):
 
 @macro("array_map")
 def _array_map(a):
-    """array_map(lambda, array) or, as the lambda may come last, array_map(array, lambda); two arrays are zipped."""
+    """array_map(lambda, array, ...) or, as the lambda may come last, array_map(array, ..., lambda); several arrays are zipped."""
     f = next(x for x in a if "->" in x)
     arrays = [x for x in a if x is not f]
-    return f"transform({arrays[0]}, {f})" if len(arrays) == 1 else f"zip_with({arrays[0]}, {arrays[1]}, {f})"
+    if len(arrays) < 3:
+        return f"transform({arrays[0]}, {f})" if len(arrays) == 1 else f"zip_with({arrays[0]}, {arrays[1]}, {f})"
+    names, body = (x.strip() for x in f.split("->", 1))
+    names = [x.strip() for x in names.strip("() ").split(",")]
+    zipped = f"transform({arrays[0]}, v -> struct(v AS v0))"
+    for i, x in enumerate(arrays[1:], 1):
+        zipped = f"zip_with({zipped}, {x}, (s, v) -> struct({', '.join(f's.v{j} AS v{j}' for j in range(i))}, v AS v{i}))"
+    for i, name in enumerate(names):
+        body = re.sub(rf"(?<![\w.`']){name}(?![\w`'(])", f"zipped.v{i}", body)
+    return f"transform({zipped}, zipped -> {body})"
 
 
 @macro("array_sortby")
@@ -425,7 +464,6 @@ text({
     "max_n": "sort_array(slice(sort_array(collect_list({0}), false), 1, {1}))",
     "bitmap_agg bitmap_union_int": "sort_array(collect_set(CASE WHEN {0} >= 0 THEN cast({0} as bigint) END))",
     "bitmap_union": "sort_array(array_distinct(flatten(collect_list({0}))))",
-    "bitmap_union_count": "count(DISTINCT {0})",
     "multi_distinct_count": "count(DISTINCT {0})",
     "multi_distinct_sum": "sum(DISTINCT {0})",
     "hll_raw hll_raw_agg ds_hll_count_distinct_union": "hll_sketch_agg({0})",
@@ -439,9 +477,64 @@ text({
     "dict_merge": "sort_array(array_distinct(flatten(collect_list({0}))))",
     "sum_dec": "cast(sum({0}) as decimal(38, {1}))",
 })
-MACROS["multi_distinct_count"] = MACROS["bitmap_union_count"] = lambda a: f"count(DISTINCT {', '.join(a)})"
-MACROS["group_concat"] = MACROS["string_agg"] = lambda a: f"left(array_join(sort_array(collect_list(cast({a[0]} as string))), {a[1] if len(a) > 1 else repr(',')}), 1024)"
+MACROS["multi_distinct_count"] = MACROS["count_distinct"] = lambda a: f"count(DISTINCT {', '.join(a)})"
+# The members of all bitmaps; a number stands for the bitmap of itself.
+MACROS["bitmap_union_count"] = lambda a: f"cast(size(array_remove(array_distinct(flatten(collect_set(split(translate(cast({a[0]} as string), '[] ', ''), ',')))), '')) as bigint)"
+
+
+@macro("group_concat", "string_agg")
+def _group_concat(a):
+    from .dialect import GROUP_CONCAT_MAX_LEN
+
+    return f"left(array_join(sort_array(collect_list(cast({a[0]} as string))), {a[1] if len(a) > 1 else repr(',')}), {GROUP_CONCAT_MAX_LEN.get()})"
+
+
 MACROS["sum_map"] = lambda a: (
     f"aggregate(flatten(collect_list(map_entries({a[0]}))), cast(map() as map<string,double>), (acc, e) -> map_concat(acc, map(cast(e.key as string), coalesce(acc[cast(e.key as string)], 0D) + coalesce(cast(e.value as double), 0D))))"
 )
-MACROS["retention"] = lambda a: f"aggregate(collect_list({a[0]}), cast(NULL as array<boolean>), (acc, c) -> CASE WHEN acc IS NULL THEN transform(c, x -> coalesce(x, false)) ELSE zip_with(acc, c, (p, r) -> p OR coalesce(r, false)) END, s -> transform(slice(s, 1, 31), (x, i) -> x AND s[0]))"
+_RETENTION = lambda a: f"aggregate(collect_list({a[0]}), cast(NULL as array<boolean>), (acc, c) -> CASE WHEN acc IS NULL THEN transform(c, x -> coalesce(x, false)) ELSE zip_with(acc, c, (p, r) -> p OR coalesce(r, false)) END, s -> transform(slice(s, 1, 31), (x, i) -> x AND s[0]))"
+
+
+def _listed(arg: str) -> list[str] | None:
+    """The items of an array written out."""
+    from .dialect import arguments
+
+    arg = arg[1:-1].strip() if arg.startswith("(") and arg.endswith(")") else arg
+    m = re.match(r"array\s*\((.*)\)$", arg, re.IGNORECASE | re.DOTALL)
+    return arguments(m[1]) if m else None
+
+
+@macro("retention")
+def _retention(a):
+    """Conditions written out are combined before the shuffle; an array column is folded."""
+    if (conditions := _listed(a[0])) is None:
+        return _RETENTION(a)
+    met = [f"coalesce(bool_or({c}), false)" for c in conditions[:31]]
+    return f"array({', '.join([met[0], *(f'({met[0]} AND {c})' for c in met[1:])])})"
+
+
+@macro("window_funnel")
+def _window_funnel(a):
+    """window_funnel(seconds, ts, mode, array of conditions): mode adds 1 (deduplicate), 2 (fixed) and 4 (strictly rising times)."""
+    if (conditions := _listed(a[3])) is None:
+        raise ValueError("window_funnel needs its conditions as array(...)")
+    mode, n = int(a[2].strip("() ")), len(conditions)
+    level = "CASE " + " ".join(f"WHEN {c} THEN {i + 1}" for i, c in reversed(list(enumerate(conditions)))) + " END"
+    events = f"sort_array(collect_list(CASE WHEN {level} IS NOT NULL THEN struct(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({a[1]} as timestamp_ntz)) AS t, {level} AS l) END))"
+    none = f"array_repeat(cast(NULL as bigint), {n})"
+    start = f"named_struct('start', {none}, 'last', {none}, 'best', 0)"
+    near = f"get(acc.start, e.l - 2) IS NOT NULL AND e.t - get(acc.start, e.l - 2) <= {a[0]} * 1000000L" + (" AND get(acc.last, e.l - 2) < e.t" if mode & 4 else "")
+    begun = f"(CASE WHEN e.l = 1 THEN e.t WHEN {near} THEN get(acc.start, e.l - 2) END)"
+    stops = [f"get(acc.start, e.l - 1) IS NOT NULL"] * bool(mode & 1) + ["(e.l > 1 AND get(acc.start, e.l - 2) IS NULL AND get(acc.start, 0) IS NOT NULL)"] * bool(mode & 2)
+    stop = f"({' OR '.join(stops)})" if stops else "false"
+    fresh = "transform(acc.start, (x, i) -> CASE WHEN i = 0 AND e.l = 1 THEN e.t END)"
+
+    def moved(side: str, to: str) -> str:
+        return f"CASE WHEN {stop} THEN {fresh} ELSE transform(acc.{side}, (x, i) -> CASE WHEN i = e.l - 1 AND {begun} IS NOT NULL THEN {to} ELSE x END) END"
+
+    best = f"CASE WHEN {begun} IS NOT NULL AND NOT {stop} THEN greatest(acc.best, e.l) ELSE acc.best END"
+    return f"aggregate({events}, {start}, (acc, e) -> named_struct('start', {moved('start', begun)}, 'last', {moved('last', 'e.t')}, 'best', {best}), acc -> acc.best)"
+
+
+MACROS["first_value_rewrite"] = lambda a: f"first_value({', '.join(a)})"
+MACROS["hll_empty"] = lambda a: "(SELECT hll_sketch_agg(x) FROM VALUES (1) AS none(x) WHERE false)"

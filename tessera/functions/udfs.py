@@ -6,10 +6,13 @@ register() names them in a session, so SQL and expr() find them.
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import struct
+from decimal import Decimal
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -115,14 +118,28 @@ def bitmap_values(data: bytes) -> list[int]:
 
 
 def sort_key(values: list) -> bytes:
-    """Bytes that order as the values do: NULL first, integers, then doubles, then text with 0x00 escaped."""
+    """Bytes that order as the values of each place do: NULL first, numbers by value, text and binary by bytes with 0x00 escaped."""
     out = bytearray()
     for v in values:
         if v is None:
             out += b"\x00"
+            continue
+        out += b"\x01"
+        if isinstance(v, datetime.datetime):
+            v = (v.replace(tzinfo=None) - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+        elif isinstance(v, datetime.date):
+            v = v.toordinal()
+        if isinstance(v, int):  # the sign bit flipped
+            out += (int(v) + (1 << 127)).to_bytes(16, "big")
+        elif isinstance(v, float):  # negative ones have all bits flipped, others the sign's
+            (bits,) = struct.unpack(">Q", struct.pack(">d", v + 0.0))
+            out += (bits ^ ((1 << 64) - 1 if bits >> 63 else 1 << 63)).to_bytes(8, "big")
+        elif isinstance(v, Decimal):
+            sign, digits, places = v.as_tuple()
+            out += ((-1 if sign else 1) * int("".join(map(str, digits))) * 10 ** (38 + places) + (1 << 255)).to_bytes(32, "big")
         else:
-            raw = str(v).encode()
-            out += b"\x01" + raw.replace(b"\x00", b"\x00\xff") + b"\x00\x01"
+            raw = v if isinstance(v, bytes) else str(v).encode()
+            out += raw.replace(b"\x00", b"\x00\xff") + b"\x00\x01"
     return bytes(out)
 
 
@@ -190,8 +207,6 @@ def named_udfs() -> dict:
 
     @F.pandas_udf("decimal(38,0)")
     def xx_hash3_128(*cols: pd.Series) -> pd.Series:
-        from decimal import Decimal
-
         out = []
         for row in zip(*cols, strict=True):
             h = None if any(v is None for v in row) else xxhash.xxh3_128_intdigest("".join(map(str, row)).encode())
@@ -199,13 +214,14 @@ def named_udfs() -> dict:
             out.append(None if h is None or abs(h) >= 10**38 else Decimal(h))
         return pd.Series(out, dtype=object)
 
-    @F.pandas_udf("binary")
-    def encode_sort_key(*cols: pd.Series) -> pd.Series:
-        return pd.Series([sort_key(list(row)) for row in zip(*cols, strict=True)], dtype=object)
+    # Of Arrow columns, as pandas makes doubles of integers beside nulls.
+    @F.arrow_udf("binary")
+    def encode_sort_key(*cols: pa.Array) -> pa.Array:
+        return pa.array([sort_key(list(row)) for row in zip(*(c.to_pylist() for c in cols), strict=True)], pa.binary())
 
-    @F.pandas_udf("string")
-    def encode_fingerprint_sha256(*cols: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(sort_key(list(row))).hexdigest() for row in zip(*cols, strict=True)], dtype=object)
+    @F.arrow_udf("string")
+    def encode_fingerprint_sha256(*cols: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(sort_key(list(row))).hexdigest() for row in zip(*(c.to_pylist() for c in cols), strict=True)], pa.string())
 
     @F.pandas_udf("string")
     def mann_whitney_u_test(x: pd.Series, group: pd.Series) -> str:

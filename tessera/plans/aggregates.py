@@ -41,8 +41,8 @@ QUERIES = {
         "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey DESC) AS a, list_sort(list(DISTINCT n_nationkey % 3)) AS b, list_sort(list_distinct(flatten(list([n_nationkey % 2, n_nationkey % 5])))) AS c FROM nation GROUP BY n_regionkey",
     ),
     "agg_map_agg": (
-        "SELECT n_regionkey, map_entries(m) AS e FROM (SELECT n_regionkey, map_agg(n_name, n_nationkey) AS m FROM (SELECT * FROM nation ORDER BY n_nationkey) t GROUP BY n_regionkey HAVING count(*) = 1) u",
-        "SELECT n_regionkey, list({'key': n_name, 'value': n_nationkey}) AS e FROM nation GROUP BY n_regionkey HAVING count(*) = 1",
+        "SELECT n_regionkey, array_sort(map_entries(m)) AS e FROM (SELECT n_regionkey, map_agg(n_name, n_nationkey) AS m FROM nation GROUP BY n_regionkey) u",
+        "SELECT n_regionkey, list({'key': n_name, 'value': n_nationkey} ORDER BY n_name) AS e FROM nation GROUP BY n_regionkey",
     ),
     "agg_sum_map": (
         "SELECT o_orderstatus, k, v FROM (SELECT o_orderstatus, sum_map(map(o_orderpriority, o_custkey)) AS m FROM orders GROUP BY o_orderstatus) t LATERAL VIEW explode(m) x AS k, v",
@@ -78,13 +78,17 @@ QUERIES = {
         "SELECT l_returnflag, true AS near " + G,
     ),
     "agg_approx_top_k": (
-        "SELECT l_returnflag, l_linenumber, n FROM (SELECT l_returnflag, l_linenumber, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_linenumber) AS r FROM lineitem GROUP BY l_returnflag, l_linenumber) t WHERE r <= 3",
+        "SELECT l_returnflag, l_linenumber, n FROM (SELECT l_returnflag, approx_top_k(l_linenumber, 3) AS top FROM lineitem GROUP BY l_returnflag) t LATERAL VIEW inline(top) u AS l_linenumber, n",
         "SELECT l_returnflag, l_linenumber, n FROM (SELECT l_returnflag, l_linenumber, count(*) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_linenumber) AS r FROM lineitem GROUP BY l_returnflag, l_linenumber) t WHERE r <= 3",
     ),
     "agg_dict_merge": (
         "SELECT dict_merge(array(p_brand)) AS d FROM part",
         "SELECT list_sort(list(DISTINCT p_brand)) AS d FROM part",
     ),
+    "agg_bitmap_union_count": (
+        "SELECT l_returnflag, bitmap_union_count(array_to_bitmap(array(l_suppkey, l_linenumber))) AS a, bitmap_union_count(l_linenumber) AS b " + G,
+        "SELECT l_returnflag, (SELECT count(DISTINCT v) FROM (SELECT l_suppkey AS v FROM lineitem k WHERE k.l_returnflag = t.l_returnflag UNION ALL SELECT l_linenumber FROM lineitem k WHERE k.l_returnflag = t.l_returnflag) u) AS a, b FROM (SELECT l_returnflag, count(DISTINCT l_linenumber) AS b " + G + ") t",
+    ),
     "agg_histogram": ("SELECT o_orderstatus, histogram(o_custkey, 8) AS h FROM orders GROUP BY o_orderstatus", None),
     "agg_mann_whitney": ("SELECT o_orderstatus, mann_whitney_u_test(o_totalprice, o_orderkey % 2 = 0) AS t FROM orders GROUP BY o_orderstatus", None),
     "agg_decimal_rules": (

@@ -62,6 +62,15 @@ QUERIES = {
         """SELECT u.user_id, CASE WHEN EXISTS (SELECT 1 FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts > a.ts AND b.ts - a.ts <= interval 1 day WHERE a.user_id = u.user_id) THEN 2
 WHEN EXISTS (SELECT 1 FROM events a WHERE a.user_id = u.user_id AND a.event_type = 'view') THEN 1 ELSE 0 END AS level FROM (SELECT DISTINCT user_id FROM events) u""",
     ),
+    "window_funnel_sql": (
+        "SELECT user_id, window_funnel(86400, ts, 4, array(event_type = 'view', event_type = 'click')) AS level FROM events GROUP BY user_id",
+        """SELECT u.user_id, CASE WHEN EXISTS (SELECT 1 FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts > a.ts AND b.ts - a.ts <= interval 1 day WHERE a.user_id = u.user_id) THEN 2
+WHEN EXISTS (SELECT 1 FROM events a WHERE a.user_id = u.user_id AND a.event_type = 'view') THEN 1 ELSE 0 END AS level FROM (SELECT DISTINCT user_id FROM events) u""",
+    ),
+    "retention_sql": (
+        "SELECT user_id, retention(array(event_type = 'signup', event_type = 'purchase')) AS r FROM events GROUP BY user_id",
+        "SELECT user_id, [bool_or(event_type = 'signup'), bool_or(event_type = 'signup') AND bool_or(event_type = 'purchase')] AS r FROM events GROUP BY user_id",
+    ),
     "window_funnel_modes": (funnel_modes, None),
     "window_tumbling": (tumbling, "SELECT epoch(date_trunc('hour', ts))::bigint AS start, event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY 1, 2"),
     "window_sliding": (sliding, "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([epoch(date_trunc('hour', ts))::bigint, epoch(date_trunc('hour', ts))::bigint - 3600]) AS start FROM events) t GROUP BY 1, 2"),

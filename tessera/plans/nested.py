@@ -46,14 +46,14 @@ FROM (SELECT n_nationkey AS k, list_sort(list_distinct([1, 2, 3, n_nationkey]::b
     ),
     "fn_bitmap_binary": ("SELECT n_nationkey AS k, bitmap_from_binary(bitmap_to_binary(array(3L, 1L, 700L + n_nationkey))) AS a FROM nation", "SELECT n_nationkey AS k, [1, 3, 700 + n_nationkey]::bigint[] AS a FROM nation"),
     "fn_bitmap_base64": ("SELECT n_nationkey AS k, bitmap_to_base64(array(cast(n_nationkey as bigint))) AS a FROM nation", None),
-    "unnest_single": ("SELECT n_nationkey AS k, x FROM nation LATERAL VIEW explode(array(n_regionkey, n_nationkey)) u AS x", "SELECT n_nationkey AS k, unnest([n_regionkey, n_nationkey]) AS x FROM nation"),
+    "unnest_single": ("SELECT n_nationkey AS k, x FROM nation, unnest(array(n_regionkey, n_nationkey)) AS u(x)", "SELECT n_nationkey AS k, unnest([n_regionkey, n_nationkey]) AS x FROM nation"),
     "unnest_multi_uneven_left": (
-        "SELECT id, x, y FROM (SELECT 1 AS id, array(1, 2, 3) AS a, array('a') AS b UNION ALL SELECT 2, array(4), array('b', 'c') UNION ALL SELECT 3, NULL, array('z') UNION ALL SELECT 4, NULL, NULL) t LATERAL VIEW OUTER inline(arrays_zip(coalesce(a, array()), coalesce(b, array()))) u AS x, y",
+        "SELECT id, x, y FROM (SELECT 1 AS id, array(1, 2, 3) AS a, array('a') AS b UNION ALL SELECT 2, array(4), array('b', 'c') UNION ALL SELECT 3, NULL, array('z') UNION ALL SELECT 4, NULL, NULL) t LEFT JOIN unnest(a, b) AS u(x, y) ON TRUE",
         "SELECT id, x, y FROM (VALUES (1, 1, 'a'), (1, 2, NULL), (1, 3, NULL), (2, 4, 'b'), (2, NULL, 'c'), (3, NULL, 'z'), (4, NULL, NULL)) t(id, x, y)",
     ),
-    "unnest_bitmap": ("SELECT k, x FROM (SELECT n_nationkey AS k, array_to_bitmap(array(5L, 1L, 5L)) AS b FROM nation) t LATERAL VIEW explode(b) u AS x", "SELECT n_nationkey AS k, unnest([1, 5]::bigint[]) AS x FROM nation"),
+    "unnest_bitmap": ("SELECT k, x FROM (SELECT n_nationkey AS k, array_to_bitmap(array(5L, 1L, 5L)) AS b FROM nation) t, unnest_bitmap(b) AS u(x)", "SELECT n_nationkey AS k, unnest([1, 5]::bigint[]) AS x FROM nation"),
     "subdivide_bitmap": (
-        "SELECT x FROM (SELECT sequence(1L, 10L) AS b) t LATERAL VIEW explode(transform(sequence(0, cast(ceil(size(b) / 4) as int) - 1), j -> slice(b, j * 4 + 1, 4))) u AS x",
+        "SELECT x FROM (SELECT sequence(1L, 10L) AS b) t, subdivide_bitmap(b, 4) AS u(x)",
         "SELECT unnest([[1, 2, 3, 4], [5, 6, 7, 8], [9, 10]]::bigint[][]) AS x",
     ),
     "generate_series_per_row": ("SELECT n_nationkey AS k, g FROM nation LATERAL VIEW explode(array_generate(1, n_regionkey, 1)) u AS g", "SELECT n_nationkey AS k, unnest(range(1, n_regionkey + 1)) AS g FROM nation"),

@@ -22,8 +22,8 @@ WHERE NOT (v > 90) OR v IS NULL OR event_type IN ('click', 'view', NULL)""",
     "join_right_outer": "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P'",
     "join_full_outer": "SELECT a.k AS ak, b.k AS bk FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_quantity > 49) a FULL OUTER JOIN (SELECT s_suppkey AS k FROM supplier WHERE s_acctbal > 0) b ON a.k = b.k",
     "join_left_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
-    "join_left_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
-    "join_null_aware_anti": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, -1) FROM supplier)",
+    "join_left_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
+    "join_null_aware_anti": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, -1) FROM supplier WHERE s_acctbal > 5000)",
     "join_not_in_with_null": "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier)",
     "join_theta_range": "SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON a.n_nationkey > b.r_regionkey * 5 AND a.n_regionkey <> b.r_regionkey",
     "join_theta_left": "SELECT a.n_nationkey AS a, b.r_regionkey AS b FROM nation a LEFT JOIN region b ON a.n_nationkey < b.r_regionkey",

@@ -61,6 +61,19 @@ FROM (SELECT *, timestamp '2023-12-25 12:00:00' AS t0, timestamp '2020-05-01 00:
         "SELECT p_partkey AS k, md5(p_name) AS f1, md5sum(p_name, p_brand) AS f2, sha2(p_name, 256) AS f3, sha2(p_name, 100) AS f4, to_base64(p_name) AS f5, from_base64(to_base64(p_name)) AS f6, from_binary(to_binary(p_name, 'utf8'), 'utf8') AS f7, from_binary(cast(p_name as binary)) AS f8, cast(aes_decrypt(aes_encrypt(p_name, '0123456789abcdef'), '0123456789abcdef') as string) AS f9, md5sum_numeric(p_name) IS NOT NULL AS f10 FROM part",
         "SELECT p_partkey AS k, md5(p_name) AS f1, md5(p_name || p_brand) AS f2, sha256(p_name) AS f3, NULL::varchar AS f4, to_base64(p_name::blob) AS f5, p_name AS f6, p_name AS f7, hex(p_name) AS f8, p_name AS f9, true AS f10 FROM part",
     ),
+    "fn_time_slice_seconds": (
+        "SELECT event_id, time_slice(ts, INTERVAL 5 second) AS f1, time_slice(ts, INTERVAL 7 minute, ceil) AS f2, time_slice(ts, 90, 'second') AS f3, date_slice(ts, INTERVAL 1 month) AS f4, date_format(ts, '%Y-%c-%e %w') AS f5, cast(20240102 AS date) AS f6 FROM events",
+        """SELECT event_id, epoch_ms(1000::bigint * (floor((floor(epoch(ts))::bigint + 62135596800) / 5) * 5 - 62135596800)::bigint) AS f1, epoch_ms(1000::bigint * ((floor((floor(epoch(ts))::bigint + 62135596800) / 420) + 1) * 420 - 62135596800)::bigint) AS f2,
+  epoch_ms(1000::bigint * (floor((floor(epoch(ts))::bigint + 62135596800) / 90) * 90 - 62135596800)::bigint) AS f3, date_trunc('month', ts)::date AS f4, strftime(ts, '%Y-%m-%d ') || '%w' AS f5, date '2024-01-02' AS f6 FROM events""",
+    ),
+    "fn_array_map_three": (
+        "SELECT n_nationkey AS k, array_map((x, y, z) -> x + y * z, array(n_nationkey, 2), array(3, n_regionkey), array(5, 6)) AS a FROM nation",
+        "SELECT n_nationkey AS k, [n_nationkey + 15, 2 + n_regionkey * 6] AS a FROM nation",
+    ),
+    "fn_sort_key": (
+        "SELECT p_partkey AS k, row_number() OVER (ORDER BY encode_sort_key(p_size), encode_sort_key(p_retailprice, p_partkey)) AS r FROM part",
+        "SELECT p_partkey AS k, row_number() OVER (ORDER BY p_size, p_retailprice, p_partkey)::int AS r FROM part",
+    ),
     "fn_hash_udf": ("SELECT p_partkey AS k, murmur_hash3_32(p_name) AS f1, xx_hash3_128(p_name) AS f2, sm3(p_name) AS f3, encode_fingerprint_sha256(p_name, p_brand) AS f4, encode_sort_key(p_name) AS f5, encode_row_id(p_partkey) AS f6 FROM part", None),
     "fn_ngram_search": ("SELECT p_partkey AS k, ngram_search(p_name, 'ring', 3) AS f1, ngram_search_case_insensitive(p_name, 'RING', 3) AS f2 FROM part", None),
     "fn_iceberg_transforms": (

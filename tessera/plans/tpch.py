@@ -63,7 +63,7 @@ FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey =
 WHERE l_returnflag = 'R' GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""",
     "tpch_q11": f"""
 SELECT l_partkey, {total('l_extendedprice')} AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-GROUP BY l_partkey HAVING sum(cast(l_extendedprice as decimal(18,4))) > (SELECT sum(cast(l_extendedprice as decimal(18,4))) * 0.001 FROM lineitem)""",
+GROUP BY l_partkey HAVING sum(cast(l_extendedprice as decimal(18,4))) > (SELECT sum(cast(l_extendedprice as decimal(18,4))) * 0.0007 FROM lineitem)""",
     "tpch_q12": """
 SELECT l_linestatus, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS low
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= timestamp '1994-01-01 00:00:00' GROUP BY l_linestatus""",
@@ -102,7 +102,7 @@ WHERE o_orderstatus = 'F' AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_order
 GROUP BY s_name""",
     "tpch_q22": """
 SELECT c_nationkey, count(*) AS numcust, cast(sum(cast(c_acctbal as decimal(18,4))) as double) AS totacctbal FROM customer
-WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)
 GROUP BY c_nationkey""",
     "ssb_q1": f"""
 SELECT {total('l_extendedprice * l_discount')} AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey
