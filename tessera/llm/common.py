@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def passing(docs: DataFrame, reads: tuple[str, ...], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """operator(docs), with other columns than it reads under names that it doesn't use; in the result they have their own again."""
+    other = {c: f"__other{i}" for i, c in enumerate(docs.columns) if c not in reads}
+    out = operator(docs.toDF(*[other.get(c, c) for c in docs.columns]))
+    back = {v: k for k, v in other.items()}
+    return out.toDF(*[back.get(c, c) for c in out.columns])
+
+
 #: Rows of a table of 64-bit keys that may be broadcast: 16 MB.
 BROADCAST_KEYS = 1 << 20
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, content_key
+from .common import Scratch, as_bytes, content_key, passing
 
 LINE_ROWS = "__h1 long, __h2 long, doc_id long, __k1 long, __k2 long, __pos int"
 STREAMED = "__kind int, __h1 long, __h2 long, __k1 long, __k2 long, __pos int, __part int, __first boolean, __n long"
@@ -230,7 +230,11 @@ def line_dedup_digest(docs: DataFrame, min_docs: int = 10) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, keep: str = "none") -> DataFrame:
-    """The documents with their kept lines as text; n_chars, where present, is counted anew."""
+    """The documents with their kept lines as text; n_chars, where present, is counted anew. Other columns may have any names."""
+    return passing(docs, ("doc_id", "text", "n_chars"), lambda d: _line_dedup(d, min_docs, keep))
+
+
+def _line_dedup(docs: DataFrame, min_docs: int, keep: str) -> DataFrame:
     names = docs.columns
 
     def rebuilt(batches):

@@ -196,10 +196,14 @@ COLUMNS = (
 
 
 def media_columns(df: DataFrame, column: str, out: str = "media") -> DataFrame:
-    """df with a struct of what the ISO media file in the binary column says of itself."""
+    """df with a struct of what the ISO media file in the binary column says of itself, in the place of a column of that name.
+
+    Null, empty, damaged and fragmented files have an error and no tracks.
+    """
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
     kind = _parse_datatype_string(COLUMNS)
+    df = df if out == column else df.drop(out)
     schema = StructType([*df.schema.fields, StructField(out, kind)])
 
     def read(batches):

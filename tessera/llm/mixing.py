@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes
+from .common import Scratch, as_bytes, passing
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 64
@@ -149,8 +149,12 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: each whole pass over a document is a row, then a row with its first words, if any.
 
-    n_chars, where present, is counted anew. Of equal rows each is taken by itself.
+    n_chars, where present, is counted anew. Of equal rows each is taken by itself. Other columns may have any names.
     """
+    return passing(docs, ("doc_id", "source", "text", "n_chars"), lambda d: _mixed(d, **options))
+
+
+def _mixed(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     plan = mix(docs, **options).where("taken > 0").groupBy(F.col("__row").alias("__key"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("__takes"))
     keyed = docs.withColumn("__key", row_key(options.get("seed", SEED)))

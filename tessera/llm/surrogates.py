@@ -22,7 +22,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, content_key
+from .common import Scratch, content_key, passing
 
 #: The key of the registered query, which is public as its results are; a real run has a secret one.
 QUERY_KEY = "tessera-surrogates-1"
@@ -174,7 +174,11 @@ def text_key(text: Column | str = "text") -> list[Column]:
 
 
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
-    """docs with entities replaced in text, and n_entities and kinds (how many of each type, by name)."""
+    """docs with entities replaced in text, and n_entities and kinds (how many of each type, by name), in the place of columns of these names."""
+    return passing(docs.drop("n_entities", "kinds"), ("text",), lambda d: _with_surrogates(d, key))
+
+
+def _with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     with Scratch(docs.sparkSession) as scratch:
         texts = docs.select(*text_key(), "text").where(F.col("text").rlike(HINT))
         found = texts.select("__k1", "__k2", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0)).alias("found")).where("size(found) > 0")

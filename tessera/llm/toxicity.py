@@ -13,9 +13,14 @@ how the patterns' sums make up a score (logistic regression). Both use at most
 SAMPLE_ROWS labelled rows, the first by a hash of doc_id, and never rows whose
 crc32(doc_id) mod 3 is 1.
 
+The lexicon takes in at most MOST_ENTRIES learned entries, those of the highest
+z, ties by the entry's name; a parameter of the model, whatever the input's size.
+
 Defined cases. Null or empty text has no clauses and gets the score of a text
 without any pattern. Without usable labels the fixed lexicon and the fixed
-weights hold. Whole texts are read. Null doc_id: held_out is false.
+weights hold. Whole texts are read. Null doc_id: held_out is false. Repeated
+rows get equal scores; of a doc_id with several labels 1 counts. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -232,23 +237,24 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int
     return entries, fit(np.array([r["__x"] for r in got]), np.array([r["__y"] for r in got], dtype=float))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with __score, from 0 to 1; other columns pass through."""
+def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, out: str = "__score") -> DataFrame:
+    """docs with the score, from 0 to 1, as column out, in the place of one of that name; other columns pass through, whatever their names."""
+    docs = docs.drop(out)
     with Scratch(docs.sparkSession) as scratch:
         entries, weights = learn(docs, labels, scratch, sample_rows)
 
     def score(batches):
         grammar = Grammar(entries)
         for batch in batches:
-            out = []
+            scores = []
             for text in as_texts(batch.column("text")):
                 v = weights[0] + sum(w * math.log1p(s) for w, s in zip(weights[1:], grammar.sums(text), strict=True))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, v)))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "__score"])
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, v)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
