@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next stage's docs. All but the last return
 the columns of documents.
+
+Defined cases. Null and empty texts are kept by every stage but the mix, which
+takes words. A null doc_id is a value like others, the last one where the
+smallest counts. Of repeated rows with words one stays. Empty tables give empty
+results. Further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, table
+from tessera.llm.common import Scratch, table, unused
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.mixing import mixed
 from tessera.llm.ngram_join import without_near_duplicates
@@ -20,7 +25,8 @@ from tessera.llm.toxicity import THRESHOLD, toxicity
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; the score is learned from the labels of these documents."""
-    return toxicity(docs, table(spark, sf_dir, "labels")).where(F.col("__score") < THRESHOLD).select(*docs.columns)
+    (score,) = unused(docs, "__score")
+    return toxicity(docs, table(spark, sf_dir, "labels"), out=score).where(F.col(score) < THRESHOLD).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
