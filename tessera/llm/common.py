@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -112,6 +115,19 @@ def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
     return df.coalesce(max(2, -(-rows // each)))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The function of batches, which gives its memory back when a task ends: workers outlive their tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # of the GNU library alone
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8 bytes; null is empty."""
     return [x if x is not None else b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, content_key, passing
+from .common import Scratch, as_bytes, content_key, passing, tidy
 
 LINE_ROWS = "__h1 long, __h2 long, doc_id long, __k1 long, __k2 long, __pos int"
 STREAMED = "__kind int, __h1 long, __h2 long, __k1 long, __k2 long, __pos int, __part int, __first boolean, __n long"
@@ -182,10 +182,10 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", m
         raise ValueError("keep is 'none' or 'first'")
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        lines = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_line_rows(min_chars), LINE_ROWS)
+        lines = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidy(_line_rows(min_chars)), LINE_ROWS)
         lines = scratch.table(lines, "lines")  # range bounds are sampled from this, not from the texts again
         by = ["__h1", "__h2", "doc_id", "__k1", "__k2"]
-        streamed = lines.repartitionByRange(*by).sortWithinPartitions(*by, "__pos").mapInArrow(_stream(min_docs, keep == "first"), STREAMED)
+        streamed = lines.repartitionByRange(*by).sortWithinPartitions(*by, "__pos").mapInArrow(tidy(_stream(min_docs, keep == "first")), STREAMED)
         streamed = scratch.table(streamed, "streamed")
         # At most two COUNT rows a partition, so this fits a broadcast.
         whole = streamed.where(F.col("__kind") == COUNT).groupBy("__h1", "__h2").agg(F.sum("__n").alias("__docs"), F.min("__part").alias("__from")).where(F.col("__docs") >= min_docs)
@@ -245,5 +245,5 @@ def _line_dedup(docs: DataFrame, min_docs: int, keep: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols)
 
     bitmaps = line_keep_bitmaps(docs, min_docs, keep).select("__k1", "__k2", F.col("keep_bitmap").alias("__bitmap"))
-    changed = _with_bitmaps(docs, bitmaps).select(*[F.col(f"`{c}`") for c in names], "__bitmap").mapInArrow(rebuilt, docs.schema)
+    changed = _with_bitmaps(docs, bitmaps).select(*[F.col(f"`{c}`") for c in names], "__bitmap").mapInArrow(tidy(rebuilt), docs.schema)
     return changed.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else changed

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, passing
+from .common import Scratch, as_bytes, passing, tidy
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 64
@@ -176,7 +176,7 @@ def _mixed(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols)
 
     joined = nth.join(plan, "__key").select(*[F.col(f"`{c}`") for c in names], "__size", "__takes", "__nth")
-    out = joined.mapInArrow(taken, docs.schema)
+    out = joined.mapInArrow(tidy(taken), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in names else out
 
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, content_key, few, only, unused
+from .common import Scratch, content_key, few, only, tidy, unused
 
 BLOCK = 8192
 BITS_PER_DIFFERENCE = 12
@@ -228,7 +228,7 @@ def _added(batches):
 def commonness_of(docs: DataFrame) -> np.ndarray:
     """For each slot of the word sketch a class by its count, two to a power of two: of fixed size, over all documents."""
     kind = "chunk int, counts binary"
-    parts = docs.select("text").mapInArrow(_counts, kind)
+    parts = docs.select("text").mapInArrow(tidy(_counts), kind)
     total = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, CHUNK)
     summed = few(parts.repartition("chunk"), total.shape[0]).sortWithinPartitions("chunk").mapInArrow(_added, kind)
     for row in summed.collect():  # as many rows as chunks
@@ -317,7 +317,7 @@ def arrays(docs: DataFrame, nodes: DataFrame, words: int, common, scratch: Scrat
                     rows.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(rows, pa.binary())], names=["node", "h"])
 
-    text = only(docs.select("__k1", "text").where("text is not null"), nodes, "__k1").mapInArrow(run, "node long, h binary")
+    text = only(docs.select("__k1", "text").where("text is not null"), nodes, "__k1").mapInArrow(tidy(run), "node long, h binary")
     return scratch.table(few(text.dropDuplicates(["node"]), nodes.count(), 2000), name)
 
 
@@ -607,7 +607,7 @@ def across(members: DataFrame, comp: DataFrame, info: DataFrame, scratch: Scratc
         rows = rows.select("*", *plain).select(*names)
     by = names[:3]
     dealt = rows.repartition(*by) if cuts else few(rows.repartition(*by), members.count(), 20_000)
-    found = dealt.sortWithinPartitions(*names[:4]).mapInArrow(_tile_pairs(num, den, most_pairs), "a long, b long, key long")
+    found = dealt.sortWithinPartitions(*names[:4]).mapInArrow(tidy(_tile_pairs(num, den, most_pairs)), "a long, b long, key long")
     found = scratch.table(found, f"{name}-found")
     short = found.where("a is not null").select("a", "b").distinct()
     pairs = scratch.table(allowed(short, info, num, den, found.count()), f"{name}-pairs")
@@ -684,7 +684,7 @@ def joined_across(links: DataFrame, members: DataFrame, info: DataFrame, docs: D
 def resolved(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """sets: a row for each of docs (doc_id, __k1, text), with its node; comp: node, comp for nodes linked with others."""
     common = docs.sparkSession.sparkContext.broadcast(commonness_of(docs))
-    sets = scratch.table(docs.mapInArrow(_sets(words, num, den, common), SETS), "sets")
+    sets = scratch.table(docs.mapInArrow(tidy(_sets(words, num, den, common)), SETS), "sets")
     owned = sets.where("keys is not null")
     keys = owned.select(F.explode("keys").alias("key"), "node")
     # Equal sets come once a partition; what is left of them stands side by side here.

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidy
 
 CAPACITY = 2048
 END = 0
@@ -39,7 +39,7 @@ TOKENIZER = "word_bpe_49k.json"
 ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 3, 6, 4
 SHARD_ITEMS, LEVELS, WELL_FILLED = 4096, 3, 0.98
 SHARDS_A_TASK = 16
-CACHE_WORDS, BYTES_AT_ONCE = 600_000, 1 << 22
+CACHE_WORDS, BYTES_AT_ONCE = 450_000, 1 << 22
 
 #: A line: lower-case letters with or without punctuation behind, which are separate pieces to the tokenizer; else two empty groups.
 _PLAIN = re.compile(rb"^(?:([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)?|.*)$", re.MULTILINE)
@@ -189,7 +189,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), PIECES)
 
 
 class Bins:
@@ -359,7 +359,7 @@ def evolve_islands(shards: DataFrame, scratch: Scratch, name: str, capacity: int
     own = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths")
     state = own.select("*", F.lit(None).cast("array<array<int>>").alias("population"), F.lit(None).cast("array<int>").alias("incoming"))
     for e in range(epochs):
-        state = scratch.table(state.mapInArrow(_evolve(capacity, GENERATIONS, POPULATION, seed + e), STATE), f"{name}-epoch{e}")
+        state = scratch.table(state.mapInArrow(tidy(_evolve(capacity, GENERATIONS, POPULATION, seed + e)), STATE), f"{name}-epoch{e}")
         elite = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("population")[0].alias("incoming"))
         state = state.join(elite, ["shard", "island"])
     needed = F.array_max(F.col("incoming"))

@@ -35,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_texts
+from .common import Scratch, as_texts, tidy
 
 SAMPLE_ROWS = 20_000
+ENTRIES_AT_ONCE = 200_000
 LEAST_DOCS, LEAST_Z, LEAST_PRECISION, MOST_ENTRIES = 5, 6.0, 0.7, 4000
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
@@ -210,15 +211,23 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int
 
     def count(batches):
         seen = {0: Counter(), 1: Counter()}
+
+        def counted():
+            entries = list(seen[0] | seen[1])
+            counts = [pa.array([seen[y][e] for e in entries], pa.int64()) for y in (1, 0)]
+            for y in seen:
+                seen[y].clear()
+            return pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *counts], names=["entry", "__pos", "__neg"])
+
         for batch in batches:
             for text, y in zip(as_texts(batch.column("text")), batch.column("__y").to_pylist(), strict=True):
                 seen[y].update(words_and_stems(text))
-        entries = list(seen[0] | seen[1])
-        counts = [pa.array([seen[y][e] for e in entries], pa.int64()) for y in (1, 0)]
-        yield pa.RecordBatch.from_arrays([pa.array(entries, pa.string()), *counts], names=["entry", "__pos", "__neg"])
+                if len(seen[0]) + len(seen[1]) > ENTRIES_AT_ONCE:  # what a task holds is bounded; the sum is taken behind it
+                    yield counted()
+        yield counted()
 
     # The sample's bound is that of the entries.
-    every = sample.mapInArrow(count, "entry string, __pos long, __neg long").groupBy("entry").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))
+    every = sample.mapInArrow(tidy(count), "entry string, __pos long, __neg long").groupBy("entry").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))
     rate = totals[1] / (totals[0] + totals[1])
     n = F.col("__pos") + F.col("__neg")
     z = (F.col("__pos") - n * rate) / F.sqrt(n * rate * (1 - rate))
@@ -232,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int
             sums = [[math.log1p(v) for v in grammar.sums(t)] for t in as_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("__y"), pa.array(sums, pa.list_(pa.float64()))], names=["__y", "__x"])
 
-    got = sample.mapInArrow(features, "__y int, __x array<double>").collect()  # sample_rows short rows at most
+    got = sample.mapInArrow(tidy(features), "__y int, __x array<double>").collect()  # sample_rows short rows at most
     got.sort(key=lambda r: (r["__y"], r["__x"]))
     return entries, fit(np.array([r["__x"] for r in got]), np.array([r["__y"] for r in got], dtype=float))
 
@@ -254,7 +263,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
+    return docs.mapInArrow(tidy(score), StructType([*docs.schema.fields, StructField(out, DoubleType())]))
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
