@@ -28,6 +28,7 @@ from .common import Scratch, content_key, passing
 QUERY_KEY = "tessera-surrogates-1"
 #: From this attempt on surrogates are of a wider form, as the entity's own form may have too few.
 WIDER, ROUNDS = 4, 60
+ENTITIES_A_TASK = 1000
 
 #: Titles that tell a name and a gender.
 MALE = "Mr|Herr|Señor|Sr|Monsieur|г-н"
@@ -155,8 +156,10 @@ def hmac(key: str, message: Column) -> Column:
 def entity_surrogates(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     """kind, canon, surrogate: distinct surrogates for the distinct entities, none of them an entity itself."""
     now = scratch.table(entities.distinct().withColumn("attempt", F.lit(0)), "entities0")
+    tasks = max(1, -(-now.count() // ENTITIES_A_TASK))
     for n in range(1, ROUNDS + 1):
-        hashed = now.withColumn("h", hmac(key, F.concat_ws("|", "kind", "canon", F.col("attempt").cast("string"))))
+        # A small table is one file, but making surrogates takes its time.
+        hashed = now.repartition(tasks).withColumn("h", hmac(key, F.concat_ws("|", "kind", "canon", F.col("attempt").cast("string"))))
         made = hashed.withColumn("surrogate", F.expr(surrogate_of())).drop("h")
         met = made.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"))
         originals = now.select(F.col("kind"), F.when(F.col("kind").startswith("name"), F.initcap("canon")).otherwise(F.col("canon")).alias("surrogate"), F.lit(True).alias("taken"))
