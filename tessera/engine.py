@@ -7,12 +7,15 @@ import re
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from .catalog import Catalog
 from .functions.dialect import GROUP_CONCAT_MAX_LEN, expand, statements
 from .functions.udfs import NAMES, register
 from .session import configure
 
 
 _SET = re.compile(r"set\s+(?:session\s+)?@{0,2}group_concat_max_len\s*=\s*(\d+)\s*;?", re.IGNORECASE)
+#: What the catalog runs, or names that it has; a session without either never opens one.
+_CATALOG = re.compile(r"\s*(create\s+(database|table|external|materialized)|drop\s+(database|table|materialized)|use|set\s+catalog|insert|truncate|delete|alter\s+table|refresh)\b|.*\binformation_schema\s*\.", re.IGNORECASE | re.DOTALL)
 _NUMBER_AS_DATE = re.compile(r"\bcast\s*\(\s*([\w.`]+)\s+as\s+date\s*\)", re.IGNORECASE)
 
 
@@ -20,10 +23,12 @@ class Engine:
     """A catalog of named inputs and SQL in the dialect over them. Names are case-insensitive.
 
     The engine works in a session of its own, so its settings and views don't
-    reach the caller's.
+    reach the caller's. Tables that statements create live below warehouse, a
+    folder that all machines share (by default in the session's), and outlast
+    the engine.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, warehouse: str | None = None):
         self.spark = spark.newSession()
         for key, value in spark.conf.getAll.items():
             if spark.conf.isModifiable(key):
@@ -32,6 +37,15 @@ class Engine:
         self._udfs: set[str] = set()
         self._names: set[str] = set()
         self.group_concat_max_len = 1024
+        self._warehouse, self._catalog = warehouse, None
+        if warehouse is not None:
+            self.catalog  # its tables are known from the start
+
+    @property
+    def catalog(self) -> Catalog:
+        if self._catalog is None:
+            self._catalog = Catalog(self, self._warehouse or f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera")
+        return self._catalog
 
     def register_parquet(self, name: str, path: str) -> DataFrame:
         return self.register(name, self.spark.read.parquet(path))
@@ -56,10 +70,12 @@ class Engine:
         return self
 
     def query(self, sql: str) -> DataFrame:
-        """The statement's result. SET group_concat_max_len = n is the engine's own setting."""
+        """The statement's result; a statement that changes the catalog gives no rows. SET group_concat_max_len = n is the engine's own setting."""
         if m := _SET.fullmatch(sql.strip()):
             self.group_concat_max_len = int(m[1])
             return self.spark.createDataFrame([("group_concat_max_len", m[1])], "key string, value string")
+        if _CATALOG.match(sql) and self.catalog.run(sql):
+            return self.spark.createDataFrame([], "status string")
         sql = self._prepared(sql)
         try:
             return self.spark.sql(sql)
@@ -71,6 +87,8 @@ class Engine:
 
     def _prepared(self, sql: str) -> str:
         """The SQL expanded, and the Arrow functions that it names made known to the session."""
+        if self._catalog is not None:
+            sql = self._catalog.resolved(sql)
         token = GROUP_CONCAT_MAX_LEN.set(self.group_concat_max_len)
         try:
             sql = expand(sql)

@@ -457,13 +457,13 @@ text({
     "min_by_v2": "min_by({0}, {1})",
     "array_agg": "transform(collect_list(struct({0} AS x)), e -> e.x)",
     "array_agg_distinct": "sort_array(collect_set({0}))",
-    "array_unique_agg": "sort_array(array_distinct(flatten(collect_list({0}))))",
+    "array_unique_agg": "sort_array(array_distinct(flatten(collect_set({0}))))",
     "array_agg_ordered": "transform(sort_array(collect_list(struct({1} AS k, {0} AS x))), e -> e.x)",
     "map_agg": "map_from_entries(reverse(collect_list(CASE WHEN {0} IS NOT NULL THEN struct({0} AS key, {1} AS value) END)))",
     "min_n": "slice(sort_array(collect_list({0})), 1, {1})",
     "max_n": "sort_array(slice(sort_array(collect_list({0}), false), 1, {1}))",
     "bitmap_agg bitmap_union_int": "sort_array(collect_set(CASE WHEN {0} >= 0 THEN cast({0} as bigint) END))",
-    "bitmap_union": "sort_array(array_distinct(flatten(collect_list({0}))))",
+    "bitmap_union": "sort_array(array_distinct(flatten(collect_set({0}))))",
     "multi_distinct_count": "count(DISTINCT {0})",
     "multi_distinct_sum": "sum(DISTINCT {0})",
     "hll_raw hll_raw_agg ds_hll_count_distinct_union": "hll_sketch_agg({0})",
@@ -474,7 +474,7 @@ text({
     "percentile_union": "collect_list({0})",
     "percentile_approx_weighted": "percentile({0}, {2}, {1})",
     "percentile_disc percentile_disc_lc": "get(sort_array(filter(collect_list({0}), z -> z IS NOT NULL)), cast(ceil((count({0}) - 1) * {1}) as int))",
-    "dict_merge": "sort_array(array_distinct(flatten(collect_list({0}))))",
+    "dict_merge": "sort_array(array_distinct(flatten(collect_set({0}))))",
     "sum_dec": "cast(sum({0}) as decimal(38, {1}))",
 })
 MACROS["multi_distinct_count"] = MACROS["count_distinct"] = lambda a: f"count(DISTINCT {', '.join(a)})"
