@@ -28,9 +28,9 @@ QUERIES = {
     "win_max_by": (f"SELECT o_orderkey, max_by_v2(o_orderkey, o_totalprice) {W} AS a, min_by_v2(o_orderkey, o_totalprice) {W} AS b {F}", f"SELECT o_orderkey, arg_max(o_orderkey, o_totalprice) {W} AS a, arg_min(o_orderkey, o_totalprice) {W} AS b {F}"),
     "win_bitmap_union_count": (f"SELECT o_orderkey, size(collect_set(o_custkey % 7) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)) AS a {F}", f"SELECT o_orderkey, len(list_distinct(list(o_custkey % 7) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)))::int AS a {F}"),
     "win_approx_top_k": (
-        f"SELECT o_orderkey, array_max(transform(array_distinct(l), x -> struct(size(filter(l, y -> y = x)) AS n, x AS x))).x AS top FROM (SELECT o_orderkey, collect_list(o_orderstatus) {W} AS l {F}) t",
-        f"SELECT o_orderkey, list_sort([{{'n': len(list_filter(l, lambda y: y = x)), 'x': x}} for x in list_distinct(l)])[-1].x AS top FROM (SELECT o_orderkey, list(o_orderstatus) {W} AS l {F}) t",
+        f"SELECT o_orderkey, transform(approx_top_k(o_orderstatus, 2) {W}, x -> x.count) AS top {F}",
+        f"SELECT o_orderkey, list_reverse_sort([len(list_filter(l, lambda y: y = x)) for x in list_distinct(l)])[1:2] AS top FROM (SELECT o_orderkey, list(o_orderstatus) {W} AS l {F}) t",
     ),
     "win_nulls_order": same(f"SELECT o_orderkey, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') NULLS FIRST, o_orderkey) as bigint) AS a, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') DESC NULLS LAST, o_orderkey) as bigint) AS b {F}"),
-    "win_qualify": same("SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) t WHERE r = 1"),
+    "win_qualify": same("SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) = 1"),
 }

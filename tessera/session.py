@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: NULL for bad casts and zero divisors, zone-less times, last key wins, NULL size of NULL.
@@ -31,3 +34,19 @@ def open_session(app: str = "tessera", **settings: str) -> SparkSession:
     for key, value in {**SETTINGS, **settings}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
+
+
+_temporary: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path that all machines see: below spark.checkpoint.dir, or a temporary one where the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if app not in _temporary:
+            _temporary[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        root = _temporary[app]
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

@@ -50,9 +50,13 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "over
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, by: list[str], buckets: int, mode: str = "overwrite") -> None:
-    """A table bucketed and sorted by the keys, so that later joins and aggregations on them need no shuffle."""
-    df.write.mode(mode).format("parquet").bucketBy(buckets, *by).sortBy(*by).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, by: list[str], buckets: int, mode: str = "overwrite", path: str | None = None) -> None:
+    """A table bucketed and sorted by the keys, so that later joins and aggregations on them need no shuffle; at path, where one is given.
+
+    Rows are dealt by the keys first, so that each bucket is one file.
+    """
+    writer = df.repartition(buckets, *by).write.mode(mode).format("parquet").bucketBy(buckets, *by).sortBy(*by)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def compact(spark: SparkSession, path: str, out: str, target_bytes: int = 128 << 20) -> None:
