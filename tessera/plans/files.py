@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources import files
+from ..sources import files, iceberg
 
 
 def _t(spark, sf_dir, name):
@@ -60,7 +60,24 @@ def join_bucketed(spark, sf_dir):
     return o.hint("merge").join(l, "o_orderkey").groupBy("o_orderkey").agg(F.count("*").alias("n"), F.max("l_quantity").alias("top"))
 
 
+def iceberg_scan(spark, sf_dir):
+    """Two appends; the first snapshot is still readable."""
+    path, rows = shared_folder(spark), _customer(spark, sf_dir)
+    iceberg.append(rows.where("bal > 0"), path)
+    iceberg.append(rows.where("bal <= 0"), path)
+    return iceberg.scan(spark, path)
+
+
+def iceberg_files(spark, sf_dir):
+    path, rows = shared_folder(spark), _customer(spark, sf_dir)
+    iceberg.append(rows.where("bal > 0"), path)
+    iceberg.append(rows.where("bal <= 0"), path)
+    return iceberg.files(spark, path).groupBy("sequence_number").agg(F.sum("record_count").alias("n"), F.max("file_format").alias("format"))
+
+
 QUERIES = {
+    "scan_iceberg": (iceberg_scan, CUSTOMER),
+    "iceberg_files_table": (iceberg_files, "SELECT CASE WHEN c_acctbal > 0 THEN 1 ELSE 2 END::bigint AS sequence_number, count(*) AS n, 'PARQUET' AS format FROM customer GROUP BY 1"),
     "scan_orc": (orc, CUSTOMER),
     "scan_csv_gzip": (csv, CUSTOMER),
     "scan_json_paths": (json, CUSTOMER),

@@ -35,13 +35,15 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
 
 
 def read_iceberg(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
-    """An Iceberg table where the runtime is on the class path, else the Parquet files of its data folder."""
+    """An Iceberg table where the runtime is on the class path, else the files that the metadata at path lists."""
     try:
         spark._jvm.java.lang.Class.forName("org.apache.iceberg.spark.SparkCatalog")
     except Exception:
         if path is None:
             raise
-        return spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(f"{path}/data")
+        from . import iceberg
+
+        return iceberg.scan(spark, path)
     return spark.table(name)
 
 
