@@ -73,3 +73,24 @@ def equi_height_histogram(df: DataFrame, column: str, buckets: int) -> DataFrame
     bucket = F.ceil(F.col("upto") * buckets / F.col("n")).cast("int")
     rows = upto.withColumn("bucket", bucket).groupBy("bucket")
     return rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("upto").alias("rows"), F.max_by("c", "v").alias("repeats"))
+
+
+def mann_whitney_u(df: DataFrame, by: list[str], x: str, group: str) -> DataFrame:
+    """by, n1, n2, u and z of the Mann-Whitney U test of x between rows whose group is false and true.
+
+    Ranks come from counts a value, so neither rows of a group nor its values
+    are gathered. Rows with a NULL are left out; u is the smaller one, z has the
+    continuity correction, and both are NULL where a sample is empty.
+    """
+    n1, n2 = F.count_if(~F.col(group)), F.count_if(F.col(group))
+    counts = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).groupBy(*by, x).agg(n1.alias("a"), n2.alias("b"))
+    w = Window.partitionBy(*by).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("t", F.col("a") + F.col("b")).withColumn("rank", F.coalesce(F.sum("t").over(w), F.lit(0)) + (F.col("t") + 1) / 2)
+    t = F.col("t").cast("double")
+    sums = ranked.groupBy(*by).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("ranks"), F.sum(t * t * t - t).alias("ties"))
+    n, pairs = F.col("n1") + F.col("n2"), F.col("n1") * F.col("n2")
+    u1 = F.col("ranks") - F.col("n1") * (F.col("n1") + 1) / 2
+    sd = F.sqrt(pairs / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    both = F.when(pairs > 0, F.least(u1, pairs - u1))
+    z = F.when(pairs > 0, F.when(sd > 0, (F.greatest(u1, pairs - u1) - pairs / 2.0 - 0.5) / sd).otherwise(0.0))
+    return sums.select(*by, "n1", "n2", both.alias("u"), z.alias("z"))

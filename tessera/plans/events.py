@@ -54,6 +54,17 @@ def histogram(spark, sf_dir):
 
 SESSIONS = "SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY {by} ROWS UNBOUNDED PRECEDING) + 1 AS s FROM (SELECT *, CASE WHEN {x} - lag({x}) OVER (PARTITION BY user_id ORDER BY {by}) {gap} THEN 1 ELSE 0 END AS o FROM events) t"
 
+def mann_whitney(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderstatus", "o_totalprice", "o_orderpriority < '3' AS urgent")
+    return ops.mann_whitney_u(o, ["o_orderstatus"], "o_totalprice", "urgent").withColumn("z", F.round("z", 6))
+
+
+MANN_WHITNEY = """WITH r AS (SELECT o_orderstatus, o_orderpriority < '3' AS g, rank() OVER w + (count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) - 1) / 2.0 AS rank, count(*) OVER (PARTITION BY o_orderstatus, o_totalprice) AS t
+  FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_totalprice)),
+s AS (SELECT o_orderstatus, count(*) FILTER (WHERE NOT g) AS n1, count(*) FILTER (WHERE g) AS n2, (sum(rank) FILTER (WHERE NOT g))::double AS ranks, sum(t * t - 1)::double AS ties FROM r GROUP BY 1),
+u AS (SELECT *, ranks - n1 * (n1 + 1) / 2 AS u1, sqrt(n1 * n2 / 12.0::double * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM s)
+SELECT o_orderstatus, n1, n2, least(u1, n1 * n2 - u1) AS u, round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0::double - 0.5::double) / sd, 6) AS z FROM u"""
+
 QUERIES = {
     "session_number": (session_number, f"SELECT event_id, user_id, s::bigint AS session FROM ({SESSIONS.format(x='floor(epoch(ts))', by='floor(epoch(ts)), event_id', gap='> 1800')}) u"),
     "retention": (retention, "SELECT user_id, r0, r0 AND coalesce(r1, false) AS r1, r0 AND coalesce(r2, false) AS r2 FROM (SELECT user_id, bool_or(event_type = 'signup' AND value > 20) AS r0, bool_or(event_type = 'purchase') AS r1, bool_or(event_type = 'error' AND value > 60) AS r2 FROM events GROUP BY user_id) t"),
@@ -71,6 +82,7 @@ WHEN EXISTS (SELECT 1 FROM events a WHERE a.user_id = u.user_id AND a.event_type
         "SELECT user_id, retention(array(event_type = 'signup', event_type = 'purchase')) AS r FROM events GROUP BY user_id",
         "SELECT user_id, [bool_or(event_type = 'signup'), bool_or(event_type = 'signup') AND bool_or(event_type = 'purchase')] AS r FROM events GROUP BY user_id",
     ),
+    "mann_whitney_by_counts": (mann_whitney, MANN_WHITNEY),
     "window_funnel_modes": (funnel_modes, None),
     "window_tumbling": (tumbling, "SELECT epoch(date_trunc('hour', ts))::bigint AS start, event_type, count(*) AS n, max(value) AS hi FROM events GROUP BY 1, 2"),
     "window_sliding": (sliding, "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([epoch(date_trunc('hour', ts))::bigint, epoch(date_trunc('hour', ts))::bigint - 3600]) AS start FROM events) t GROUP BY 1, 2"),

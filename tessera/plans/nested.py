@@ -45,7 +45,7 @@ FROM (SELECT n_nationkey AS k, array_to_bitmap(array(1L, 2L, 3L, cast(n_nationke
 FROM (SELECT n_nationkey AS k, list_sort(list_distinct([1, 2, 3, n_nationkey]::bigint[])) AS a FROM nation) t""",
     ),
     "fn_bitmap_binary": ("SELECT n_nationkey AS k, bitmap_from_binary(bitmap_to_binary(array(3L, 1L, 700L + n_nationkey))) AS a FROM nation", "SELECT n_nationkey AS k, [1, 3, 700 + n_nationkey]::bigint[] AS a FROM nation"),
-    "fn_bitmap_base64": ("SELECT n_nationkey AS k, bitmap_to_base64(array(cast(n_nationkey as bigint))) AS a FROM nation", None),
+    "fn_bitmap_base64": ("SELECT n_nationkey AS k, bitmap_to_base64(array(cast(n_nationkey as bigint))) AS a FROM nation", "SELECT n_nationkey AS k, to_base64(unhex('0100000000000000' || printf('%02x', n_nationkey))) AS a FROM nation"),
     "unnest_single": ("SELECT n_nationkey AS k, x FROM nation, unnest(array(n_regionkey, n_nationkey)) AS u(x)", "SELECT n_nationkey AS k, unnest([n_regionkey, n_nationkey]) AS x FROM nation"),
     "unnest_multi_uneven_left": (
         "SELECT id, x, y FROM (SELECT 1 AS id, array(1, 2, 3) AS a, array('a') AS b UNION ALL SELECT 2, array(4), array('b', 'c') UNION ALL SELECT 3, NULL, array('z') UNION ALL SELECT 4, NULL, NULL) t LEFT JOIN unnest(a, b) AS u(x, y) ON TRUE",

@@ -30,9 +30,9 @@ def by_sql(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _modules():
-    from . import aggregates, events, files, nested, relational, scalar, storage, tables, tpch, windows
+    from . import aggregates, events, files, nested, relational, reporting, scalar, storage, tables, tpch, windows
 
-    return (tpch, relational, aggregates, windows, scalar, nested, events, storage, tables, files)
+    return (tpch, relational, aggregates, windows, scalar, nested, events, storage, tables, files, reporting)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

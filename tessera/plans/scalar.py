@@ -2,6 +2,16 @@
 
 from __future__ import annotations
 
+#: The published 32-bit Murmur3 of a number below 2^32 as 8 bytes; the constants are its fixed values.
+_M = "& 4294967295"
+MURMUR3 = f"""WITH a AS (SELECT event_id, (user_id::ubigint * 3432918353) {_M} AS k FROM events),
+b AS (SELECT event_id, (((k << 15) | (k >> 17)) {_M}) * 461845907 {_M} AS h FROM a),
+c AS (SELECT event_id, ((((h << 13) | (h >> 19)) {_M}) * 5 + 3864292196) {_M} AS h FROM b),
+d AS (SELECT event_id, xor(((((h << 13) | (h >> 19)) {_M}) * 5 + 3864292196) {_M}, 8::ubigint) AS h FROM c),
+e AS (SELECT event_id, (xor(h, h >> 16) * 2246822507) {_M} AS h FROM d),
+f AS (SELECT event_id, (xor(h, h >> 13) * 3266489909) {_M} AS h FROM e)
+SELECT event_id, ((xor(h, h >> 16) & 2147483647) % 16)::int AS b FROM f"""
+
 QUERIES = {
     "fn_date_parts": (
         "SELECT event_id, year(ts) AS f1, month(ts) AS f2, day(ts) AS f3, quarter(ts) AS f4, hour(ts) AS f5, minute(ts) AS f6, second(ts) AS f7, dayofweek(ts) AS f8, dayofweek_iso(ts) AS f9, dayofyear(ts) AS f10, week(ts) AS f11, week_iso(ts) AS f12, weekday(ts) AS f13, yearweek(ts) AS f14, dayname(ts) AS f15, monthname(ts) AS f16, to_days(ts) AS f17 FROM events",
@@ -75,12 +85,19 @@ FROM (SELECT *, timestamp '2023-12-25 12:00:00' AS t0, timestamp '2020-05-01 00:
         "SELECT p_partkey AS k, row_number() OVER (ORDER BY p_size, p_retailprice, p_partkey)::int AS r FROM part",
     ),
     "fn_hash_udf": ("SELECT p_partkey AS k, murmur_hash3_32(p_name) AS f1, xx_hash3_128(p_name) AS f2, sm3(p_name) AS f3, encode_fingerprint_sha256(p_name, p_brand) AS f4, encode_sort_key(p_name) AS f5, encode_row_id(p_partkey) AS f6 FROM part", None),
-    "fn_ngram_search": ("SELECT p_partkey AS k, ngram_search(p_name, 'ring', 3) AS f1, ngram_search_case_insensitive(p_name, 'RING', 3) AS f2 FROM part", None),
+    "fn_ngram_search": (
+        "SELECT p_partkey AS k, cast(ngram_search(p_name, 'ring', 3) as double) AS f1, cast(ngram_search_case_insensitive(p_name, 'RING', 3) as double) AS f2 FROM part",
+        "SELECT p_partkey AS k, (contains(p_name, 'rin')::int + contains(p_name, 'ing')::int) / 2.0::double AS f1, (contains(lower(p_name), 'rin')::int + contains(lower(p_name), 'ing')::int) / 2.0::double AS f2 FROM part",
+    ),
+    "fn_sort_key": (
+        "SELECT p_partkey AS k, hex(encode_sort_key(p_name)) AS f1, encode_fingerprint_sha256(p_name, p_brand) AS f2, hex(encode_sort_key(p_partkey, p_name)) AS f3 FROM part",
+        "SELECT p_partkey AS k, '01' || hex(p_name) || '0001' AS f1, sha256(unhex('01' || hex(p_name) || '000101' || hex(p_brand) || '0001')) AS f2, upper('0180' || printf('%030x', p_partkey) || '01' || hex(p_name) || '0001') AS f3 FROM part",
+    ),
     "fn_iceberg_transforms": (
         "SELECT event_id, __iceberg_transform_identity(user_id) AS f1, __iceberg_transform_void(user_id) AS f2, __iceberg_transform_year(ts) AS f3, __iceberg_transform_month(ts) AS f4, __iceberg_transform_day(ts) AS f5, __iceberg_transform_hour(ts) AS f6, __iceberg_transform_truncate(user_id, 10) AS f7 FROM events",
         "SELECT event_id, user_id AS f1, NULL::varchar AS f2, (year(ts) - 1970)::int AS f3, ((year(ts) - 1970) * 12 + month(ts) - 1)::int AS f4, (ts::date - date '1970-01-01')::int AS f5, floor(epoch(ts) / 3600)::int AS f6, user_id - user_id % 10 AS f7 FROM events",
     ),
-    "fn_iceberg_bucket": ("SELECT event_id, __iceberg_transform_bucket(user_id, 16) AS b FROM events", None),
+    "fn_iceberg_bucket": ("SELECT event_id, __iceberg_transform_bucket(user_id, 16) AS b FROM events", MURMUR3),
     "fn_hll_hash": ("SELECT n_nationkey AS k, hll_hash(n_name) IS NOT NULL AS a, percentile_approx_raw(array(1.0D, 5.0D, 9.0D), 0.5D) AS b, size(percentile_empty()) AS c, percentile_hash(n_nationkey)[0] AS d, sleep(0) AS e FROM nation", "SELECT n_nationkey AS k, true AS a, 5.0::double AS b, 0 AS c, n_nationkey::double AS d, true AS e FROM nation"),
     "fn_decimal": (
         "SELECT l_orderkey, l_linenumber, cast(cast(l_quantity as decimal(10,2)) * cast(l_discount as decimal(10,2)) as decimal(20,4)) AS m, cast(cast(l_extendedprice as decimal(12,2)) + cast(l_tax as decimal(8,4)) as decimal(20,4)) AS a FROM lineitem",

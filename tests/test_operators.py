@@ -90,3 +90,36 @@ def test_streams_equal_batches(spark, tmp_path):
     windows.load_stream(spark, str(tmp_path / "in"), df.schema, lambda d, i: seen.append(d.count()), str(tmp_path / "ck"), where="k = 1")
     assert sum(seen) == df.where("k = 1").count()
     assert windows.sessions(df, "ts", "5 minutes", [], agg).agg(F.sum("n")).first()[0] == len(rows)
+
+
+def test_jdbc_scan_in_parts(spark, tmp_path):
+    from tessera.sources.files import read_jdbc
+
+    url, driver = f"jdbc:derby:memory:{tmp_path.name};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(20).selectExpr("cast(id AS int) AS K", "concat('n', id) AS V").write.jdbc(url, "T", properties=driver)
+    whole, parts = read_jdbc(spark, url, "T", driver), read_jdbc(spark, url, "T", driver, ("K", 0, 20, 4))
+    assert parts.rdd.getNumPartitions() == 4 and sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == sorted((i, f"n{i}") for i in range(20))
+    found = whole.where("K > 17").select("K")
+    assert sorted(r.K for r in found.collect()) == [18, 19]
+    assert "PushedFilters: [*IsNotNull(K), *GreaterThan(K,17)]" in found._jdf.queryExecution().toString()
+
+
+def test_mann_whitney_by_counts_is_that_of_rows(spark):
+    import random
+
+    import pandas as pd
+
+    from tessera.functions.udfs import mann_whitney
+    from tessera.operators.events import mann_whitney_u
+
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), float(rng.randrange(12)) if rng.random() < 0.9 else None, rng.choice([True, False, None])) for _ in range(400)] + [("only", 1.0, True)]
+    got = {r.k: r for r in mann_whitney_u(spark.createDataFrame(rows, "k string, x double, g boolean"), ["k"], "x", "g").collect()}
+    assert got["only"].u is None and got["only"].z is None
+    for k in "ab":
+        mine = [r for r in rows if r[0] == k]
+        want = mann_whitney(pd.Series([r[1] for r in mine]), pd.Series([r[2] for r in mine], dtype="boolean"))
+        u, p = map(float, want.strip("[]").split(","))
+        import math
+
+        assert got[k].u == u and abs(min(1.0, math.erfc(got[k].z / math.sqrt(2))) - p) < 1e-9
