@@ -41,8 +41,8 @@ QUERIES = {
         "SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey DESC) AS a, list_sort(list(DISTINCT n_nationkey % 3)) AS b, list_sort(list_distinct(flatten(list([n_nationkey % 2, n_nationkey % 5])))) AS c FROM nation GROUP BY n_regionkey",
     ),
     "agg_map_agg": (
-        "SELECT n_regionkey, array_sort(map_entries(m)) AS e FROM (SELECT n_regionkey, map_agg(n_name, n_nationkey) AS m FROM nation GROUP BY n_regionkey) u",
-        "SELECT n_regionkey, list({'key': n_name, 'value': n_nationkey} ORDER BY n_name) AS e FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, size(m) AS n, k, v FROM (SELECT n_regionkey, map_agg(n_name, n_nationkey) AS m FROM nation GROUP BY n_regionkey) u LATERAL VIEW explode(m) e AS k, v",
+        "SELECT n_regionkey, (count(*) OVER (PARTITION BY n_regionkey))::int AS n, n_name AS k, n_nationkey AS v FROM nation",
     ),
     "agg_sum_map": (
         "SELECT o_orderstatus, k, v FROM (SELECT o_orderstatus, sum_map(map(o_orderpriority, o_custkey)) AS m FROM orders GROUP BY o_orderstatus) t LATERAL VIEW explode(m) x AS k, v",

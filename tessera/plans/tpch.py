@@ -11,11 +11,13 @@ def total(x: str) -> str:
 
 
 NET = "l_extendedprice * (1 - l_discount)"
+# Six places and more, so exact decimals: a row's rounding isn't left to binary fractions.
+CHARGE = "cast(l_extendedprice as decimal(12,2)) * cast(1 - l_discount as decimal(6,4)) * cast(1 + l_tax as decimal(6,4))"
 
 SQL = {
     "tpch_q1": f"""
 SELECT l_returnflag, l_linestatus, {total('l_quantity')} AS sum_qty, {total('l_extendedprice')} AS sum_base_price,
-  {total(NET)} AS sum_disc_price, {total(NET + ' * (1 + l_tax)')} AS sum_charge,
+  {total(NET)} AS sum_disc_price, cast(sum({CHARGE}) as double) AS sum_charge,
   {total('l_quantity')} / count(*) AS avg_qty, {total('l_extendedprice')} / count(*) AS avg_price, {total('l_discount')} / count(*) AS avg_disc, count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02 00:00:00'
 GROUP BY l_returnflag, l_linestatus""",
