@@ -64,6 +64,29 @@ def test_salted_join_equals_join(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
+@pytest.fixture
+def no_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(joins, "TILE_ROWS", 16, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_range_join_deals_a_full_bin_over_tasks(spark, no_broadcast):
+    values = [0.5 * (i % 8) for i in range(300)] + [float(i) for i in range(-40, 60, 7)] + [None]
+    ends = [(1.0 * (i % 4), 1.0 * (i % 4) + 0.5) for i in range(90)] + [(-30.0, 30.0), (4.0, 3.0), (None, 2.0), (2.0, None), (-7.0, -7.0)]
+    points = spark.createDataFrame(list(enumerate(values)), "e long, v double")
+    ranges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(ends)], "r long, low double, high double")
+    out = joins.range_join(points, ranges, "v", "low", "high", 5.0)
+    assert out.columns == ["e", "v", "r", "low", "high"]
+    got = [(*r[:-1], r.task) for r in out.withColumn("task", F.spark_partition_id()).collect()]
+    want = [(e, v, r, a, b) for e, v in enumerate(values) for r, (a, b) in enumerate(ends) if None not in (v, a, b) and a <= v <= b]
+    assert sorted(g[:-1] for g in got) == sorted(want)
+    tasks = [g[-1] for g in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(got) / 2
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.csv").write_text("1|x\nbad|y\n")
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv"), "n int, s string", sep="|").collect()] == [(1, "x"), (None, "y")]
