@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import joins
 from tessera.plans import registry
 
 
@@ -31,3 +33,20 @@ def test_whole_tables_are_queried(spark, folder):
     assert run("typeof_info") == [("bigint", "string")] * 40
     want = [(c, n if b >= 2000 else None, "NEW" if n < 9 else m) for c, n, m, b in t["customer"] if not (n < 9 and m == "MACHINERY") and (b >= 2000 or n < 9)]
     assert sorted(run("upsert_partial_delete")) == want
+
+
+def test_a_full_bin_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "TILE_ROWS", 16, raising=False)
+    events = [(i, 20.0 + i % 3 + 0.25) for i in range(120)] + [(900, 1.0), (901, None)]
+    orders = [(i, 21000.0 + 10 * (i % 5)) for i in range(80)] + [(700, 2500.0), (701, None)]
+    spark.createDataFrame(events, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [tuple(r) for r in registry.queries()["join_range_bucketed"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(g[:2] for g in got) == [(e, o) for e in range(120) for o in range(80)] + [(900, 700)]
+    tasks = [g[2] for g in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(got) / 2
