@@ -16,6 +16,8 @@ _SERIES = re.compile(r"\btable\s*\(\s*generate_series\s*\(", re.IGNORECASE)
 
 #: Aggregates whose expansion is more than one call, so that OVER belongs inside.
 WRAPPED = {"bool_or", "boolor_agg"}
+#: Aggregates that take the first of equal keys in their window's order, where Spark's take the last.
+FIRST = {"max_by", "max_by_v2", "min_by", "min_by_v2"}
 
 
 def _close(sql: str, at: int) -> int:
@@ -128,6 +130,51 @@ def _qualify(sql: str) -> str:
     return _qualify(f"{head}SELECT * EXCEPT (__kept) FROM (SELECT {items}, ({sql[end:stop].strip()}) AS __kept {rest}) __qualified WHERE __kept {sql[stop:]}".rstrip())
 
 
+_NAMED = re.compile(r"\s*over\s*(?:([A-Za-z_]\w*)|\(\s*([A-Za-z_]\w*)\s*\))", re.IGNORECASE)
+_FRAME = re.compile(r"\b(?:rows|range)\s+(?:between|unbounded|current|interval|\d+)\b", re.IGNORECASE)
+
+
+def _window(sql: str, at: int, name: str) -> str | None:
+    """What WINDOW name AS (...) says in the SELECT around at, or one around that."""
+    depth = low = 0
+    while at < len(sql):
+        if depth == low and (m := re.compile(rf"\b{name}\s+as\s*\(", re.IGNORECASE).match(sql, at)) and re.search(r"(\bwindow|,)\s*$", sql[:at], re.IGNORECASE):
+            return sql[m.end() : _close(sql, m.end())]
+        m = _TOKEN.match(sql, at)
+        if m[2] or m[4] == "(":
+            depth += 1
+        elif m[4] == ")":
+            depth -= 1
+            low = min(low, depth)
+        at = m.end()
+    return None
+
+
+def _named_windows(sql: str) -> str:
+    """The windows that FIRST's calls name, in the place of their names."""
+    at = 0
+    while at < len(sql):
+        m = _TOKEN.match(sql, at)
+        at = m.end()
+        if not m[2] or m[2].lower() not in FIRST:
+            continue
+        end = _close(sql, at) + 1
+        if (over := _NAMED.match(sql, end)) and (found := _window(sql, over.end(), over[1] or over[2])) is not None:
+            sql = f"{sql[:end]} OVER ({found}){sql[over.end() :]}"
+    return sql
+
+
+def _first(name: str, args: list[str], window: str) -> str:
+    """A call of FIRST over a window: rows of equal keys are told apart by their numbers in its order."""
+    call, frame = MACROS[name](args), _FRAME.search(window)
+    order = window[: frame.start()] if frame else window
+    if not re.search(r"\border\s+by\b", order, re.IGNORECASE):
+        return call
+    kind = call[: call.index("(")]
+    value, key = arguments(call[len(kind) + 1 : -1])
+    return f"{kind}({value}, CASE WHEN ({key}) IS NOT NULL THEN struct(({key}), {'-' if kind == 'max_by' else ''}row_number() OVER ({order.strip()})) END)"
+
+
 #: Characters that group_concat keeps; the engine's setting group_concat_max_len.
 GROUP_CONCAT_MAX_LEN: ContextVar[int] = ContextVar("group_concat_max_len", default=1024)
 
@@ -137,6 +184,7 @@ def expand(sql: str) -> str:
     sql = _table_functions(sql)
     if re.search(r"\bqualify\b", sql, re.IGNORECASE):
         sql = _qualify(sql)
+    sql = _named_windows(sql)
     while m := _SERIES.search(sql):
         inner_end = _close(sql, m.end())
         outer_end = _close(sql, inner_end + 1)
@@ -164,6 +212,13 @@ def expand(sql: str) -> str:
                 out.append(MACROS[name](args).replace(f"({args[0]})", f"({args[0]}) {expand(sql[end + 1 : stop + 1]).strip()}", 1))
                 at = stop + 1
                 continue
+            elif name in FIRST and (over := re.match(r"\s*over\s*\(", sql[end + 1 :], re.IGNORECASE)):
+                start = end + 1 + over.end()
+                stop = _close(sql, start)
+                window = expand(sql[start:stop])
+                out.append(f"{_first(name, args, window)} OVER ({window})")
+                at = stop + 1
+                continue
             else:
                 out.append(MACROS[name](args))
         else:

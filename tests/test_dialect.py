@@ -57,6 +57,22 @@ def test_aggregates(engine, spark):
     assert engine.query("SELECT bool_or(v > 4) OVER (PARTITION BY g) AS w FROM t WHERE g = 'b'").first().w is False
 
 
+def test_equal_keys_over_a_window_go_to_its_first_row(engine):
+    engine.register("w", engine.spark.createDataFrame([(1, 1, 5.0, "a"), (1, 2, 5.0, None), (1, 3, 2.0, "c"), (1, 4, 2.0, "d"), (1, 5, None, "e"), (2, 1, None, "f"), (2, 2, 0.0, "g")], "g int, i int, k double, x string"))
+    run = lambda items, rest="": [tuple(r) for r in engine.query(f"SELECT {items} FROM w {rest} ORDER BY g, i").collect()]
+    over = "OVER (PARTITION BY g ORDER BY i)"
+    want = [("a", "a"), ("a", "a"), ("a", "c"), ("a", "c"), ("a", "c"), (None, None), ("g", "g")]
+    assert run(f"max_by_v2(x, k) {over} AS a, min_by_v2(x, k) {over} AS b") == want
+    assert run("coalesce(max_by_v2(x, k) OVER v, x) AS a, min_by(x, k) OVER (v) AS b", "WINDOW u AS (ORDER BY g), v AS (PARTITION BY g ORDER BY i)") == [*want[:5], ("f", None), want[6]]
+    # A value of NULL is passed over by max_by alone; in the window's order from behind, the last of equal rows comes first.
+    down = "OVER (PARTITION BY g ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    assert run(f"max_by_v2(x, k) {down} AS a, max_by(x, k) {down} AS b, min_by_v2(x, k) {down} AS c") == [(None, "a", "d")] * 5 + [("g", "g", "g")] * 2
+    assert run("max_by_v2(i, k) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS a") == [(1,), (1,), (2,), (3,), (4,), (2,), (2,)]
+    assert run("'max_by(' AS a, max_by(x, k) OVER v AS b", "WINDOW v AS (PARTITION BY g ORDER BY i)") == [("max_by(", w[0]) for w in want]
+    assert {r[1] for r in run("g, max_by_v2(k, i) OVER (PARTITION BY g) AS a")} == {None, 0.0}
+    assert [tuple(r) for r in engine.query("SELECT i, max_by_v2(i, count(k)) OVER (ORDER BY i) AS a FROM w GROUP BY i ORDER BY i").collect()] == [(1, 1), (2, 2), (3, 2), (4, 2), (5, 2)]
+
+
 def test_columns_and_series(engine, spark):
     assert spark.range(1).select(fx("months_add(timestamp_ntz'2024-01-31 00:00:00', 1)").alias("m")).first().m == dt.datetime(2024, 2, 29)
     assert [r[0] for r in engine.query("SELECT * FROM TABLE(generate_series(5, 1, -2))").collect()] == [5, 3, 1]
